@@ -12,6 +12,7 @@ DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 FRACTION = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)\s*/\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
 DAY = r"^([0-9]{4})([:-])([0-9]{1,2})\2([0-9]{1,2})(?:[ T].*)?$"
 BLANKS = r"^[\s\u00a0\u3000]+|[\s\u00a0\u3000]+$"
+FAN = 4
 TYPES = ("bigint", "double", "boolean", "date", "string")
 
 
@@ -72,16 +73,15 @@ def widen(
     value in force cannot be read as the column's type, false where it can, null where there is none.
 
     The rows in force are written to the shared folder once, partitioned by attribute; each partition is a narrow table
-    that is typed as it is read, and exchanged by entity once. A balanced tree of outer joins from the entities to the
-    narrow tables combines them: as every side has the same partitioning and order, no join moves a joined row again,
-    and the exchange of the entities is reused. An entity without any value in force gives no row.
+    that is typed as it is read and exchanged by entity. A balanced tree of outer joins from the entities to the narrow
+    tables combines them. An entity without any value in force gives no row.
 
     `tag_types` is the registry of columns: it becomes the schema of the result, so it is read by the driver."""
     declared = tag_types.groupBy("column_name").agg(F.min("value_type").alias("value_type")).collect()
     columns = sorted((r["column_name"], r["value_type"]) for r in declared if r["column_name"] is not None)
     rows = in_force(df, tag_types, entity, tag, value, recorded)
     kept = written(rows, "narrow", "__column")
-    spine = kept.select("__entity").distinct()
+    spine = written(kept.select("__entity").distinct(), "entities")
 
     def narrow(name: str, kind: str) -> DataFrame:
         return kept.where(F.col("__column") == name).select(
@@ -90,13 +90,22 @@ def widen(
             read_as(F.col("__value"), kind).isNull().alias(f"{name}__unreadable"),
         )
 
-    def combined(part: list[tuple[str, str]]) -> DataFrame:
-        if len(part) == 1:
-            return spine.join(narrow(*part[0]), "__entity", "left")
-        half = len(part) // 2
-        return combined(part[:half]).join(combined(part[half:]), "__entity", "left")
-
-    return (combined(columns) if columns else spine).withColumnRenamed("__entity", entity)
+    wide = outer_join_all(spine, [narrow(*c) for c in columns])
+    return wide.withColumnRenamed("__entity", entity)
+
+
+def outer_join_all(spine: DataFrame, tables: list[DataFrame], fan: int = FAN) -> DataFrame:
+    """The entities of `spine` with the columns of all `tables`, each with one row per entity: a balanced tree of outer
+    joins. A node joins at most `fan` tables and is written, so that a task never holds more sorters than that,
+    however many columns there are."""
+    while len(tables) > fan:
+        nodes = -(-len(tables) // fan)
+        size = -(-len(tables) // nodes)
+        parts = [tables[i : i + size] for i in range(0, len(tables), size)]
+        tables = [written(outer_join_all(spine, part), "node") for part in parts]
+    for t in tables:
+        spine = spine.join(t, "__entity", "left")
+    return spine
 
 
 def unreadable(wide: DataFrame, entity: str = "image_id") -> DataFrame:
