@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.llm import encoding, mixing, tokenizer
+from darkslide.llm import encoding, mixing, tokenizer, truncation
 from darkslide.sources.tables import table
 
 # Entries that are lists, numbers or times, not text in one language.
@@ -61,10 +61,23 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose text was cut off before its end."""
+    return truncation.find_truncated(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts its texts off."""
+    documents = table(spark, sf_dir, "documents")
+    return truncation.truncation_rates(documents, truncation.find_truncated(documents))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_rates": p9_rates,
 }
