@@ -40,11 +40,13 @@ def split_lists(values: pa.StringArray, bar_joins: pa.BooleanArray) -> pa.ListAr
     quotes are ordinary characters."""
     values = pc.fill_null(values.cast(pa.large_string()), "")
     n = len(values)
-    values = pa.concat_arrays([values]) if values.offset else values
     _, offsets_buffer, data_buffer = values.buffers()
-    offsets = np.frombuffer(offsets_buffer, dtype=np.int64, count=n + 1) if offsets_buffer else np.zeros(1, np.int64)
-    total = int(offsets[-1]) if n else 0
-    data = np.frombuffer(data_buffer, dtype=np.uint8, count=total) if total else np.zeros(0, np.uint8)
+    offsets = np.zeros(1, np.int64)
+    if n:  # a slice shares the buffers of its array
+        offsets = np.frombuffer(offsets_buffer, dtype=np.int64)[values.offset : values.offset + n + 1]
+    total = int(offsets[-1] - offsets[0])
+    data = np.frombuffer(data_buffer, np.uint8)[offsets[0] : offsets[-1]] if total else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
     lengths = np.diff(offsets)
     parent = np.repeat(np.arange(n), lengths)
 

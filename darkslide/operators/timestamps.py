@@ -36,8 +36,10 @@ COUNTS = {
     "days1899": (1 / 86400, -2209161600),
 }
 READINGS = [*ORDERS, *COUNTS]
+LEAST_COUNT, LARGEST_COUNT = 1e6, 1e12
 EARLIEST, LATEST = 631152000, 2208988800  # a count names an instant from 1990 to 2040
 CLEAR = 0.95
+RESULTS = ["utc_second", "reading", "posterior", "ambiguous"]
 
 ZONE = r"(Z|[A-Z]{2,5}|[+\-−][0-9]{2}(?::?[0-9]{2})?|\[[A-Za-z0-9_+\-/]+\]|[A-Za-z]+/[A-Za-z0-9_+\-/]+)?"
 # Each pattern with its replacement: year|month|day|hour|minute|second|am or pm|zone|family.
@@ -112,10 +114,12 @@ def to_utc(local: Column, zone: Column) -> Column:
 
 
 def count_readings(value: Column) -> list[Column]:
-    """For each entry of COUNTS, the instant a number counts, or null if that lies outside the plausible years."""
+    """For each entry of COUNTS, the instant a number counts, or null if that lies outside the plausible years. Nothing
+    counts from less than a few days after an origin: that is a clock that was never set."""
     out = []
     for unit, origin in COUNTS.values():
-        at = F.floor(value / unit).cast("long") + origin
+        seconds = value / unit
+        at = F.floor(F.when(seconds.between(LEAST_COUNT, LARGEST_COUNT), seconds)).cast("long") + origin
         out.append(F.when(at.between(EARLIEST, LATEST), at))
     return out
 
@@ -188,10 +192,13 @@ def normalise_times(df: DataFrame) -> DataFrame:
     Columns used: source (what shares one mixture of formats), value (string, or null) or number (double, or null),
     own_zone (a zone for values without one: offset, abbreviation or IANA name, or null) and local_zone (likewise, used
     where own_zone is null or unreadable). Without any zone a time is taken as UTC and marked ambiguous. Empty, partial,
-    impossible and placeholder values give no row, nulls neither.
+    impossible and placeholder values give no row, nulls neither. A column of `df` named like a result is replaced.
 
     The fit reads one pre-aggregated row per source and set of possible readings, however common a source is; values
     with a single possible reading never wait for it."""
+    # Other columns travel in one struct, so that their names can't clash.
+    given = df
+    df = given.select(F.struct("*").alias("__in"), "source", "value", "number", "own_zone", "local_zone")
     parsed = read_times(df).withColumn("mask", possible(F.col("readings")))
     # The generator keeps the optimiser from copying the whole parse into the filter below.
     made = F.struct("readings", "fixed", "written_zone", "mask")
@@ -221,7 +228,7 @@ def normalise_times(df: DataFrame) -> DataFrame:
     unzoned = ~F.col("__counted") & F.col("__zone").isNull()
     names = F.array(*[F.lit(r) for r in READINGS])
     return placed.select(
-        *[F.col(c) for c in df.columns],
+        *[F.col("__in")[c].alias(c) for c in given.columns if c not in RESULTS],
         instant.cast("bigint").alias("utc_second"),
         F.when(F.col("fixed").isNotNull(), "written").otherwise(F.get(names, F.col("reading"))).alias("reading"),
         F.when(F.col("fixed").isNotNull(), 1.0).otherwise(F.col("posterior")).alias("posterior"),

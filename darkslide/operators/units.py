@@ -204,17 +204,20 @@ def harmonise(df: DataFrame) -> DataFrame:
     Columns used: quantity (a key of QUANTITIES), value, bare_unit (what says the unit of a bare number where the
     quantity allows it, or null) and reference (1 or Below Sea Level for a height below zero). Values without number,
     with a zero denominator, of an unknown quantity or in a unit that stays unresolved give no row; so do nulls.
-    Amounts are rounded to the nearest whole number, halves away from zero.
+    Amounts are rounded to the nearest whole number, halves away from zero. A column of `df` named amount is replaced;
+    other columns stay, whatever their names.
 
     The statistics are one pass with partial aggregation; the driver gets one row for each quantity and spelling, and
     conversions come back as a literal map, so the second pass is a projection without any shuffle."""
+    given = df
+    df = given.select(F.struct("*").alias("__in"), "quantity", "value", "bare_unit", "reference")
     bare = F.lower(F.trim("bare_unit"))
     density = F.col("quantity") == "XResolution"
     implied = F.when(density & (F.col("unit") == ""), F.coalesce(bare, F.lit(""))).otherwise(F.col("unit"))
     values = measured(df.where(F.col("quantity").isin(list(QUANTITIES)))).withColumn("source", implied)
     units = resolve(source_statistics(values))
     if not units:
-        return df.withColumn("amount", F.lit(None).cast("bigint")).limit(0)
+        return given.withColumn("amount", F.lit(None).cast("bigint")).limit(0)
     scale, offset = [], []
     for (quantity, source), unit in sorted(units.items()):
         dimension, _, per_base = QUANTITIES[quantity]
@@ -231,5 +234,5 @@ def harmonise(df: DataFrame) -> DataFrame:
     return (
         values.withColumn("amount", F.round(F.round(signed, 6), 0).try_cast("bigint"))
         .where(F.col("amount").isNotNull())
-        .select(*df.columns, "amount")
+        .select(*[F.col("__in")[c].alias(c) for c in given.columns if c != "amount"], "amount")
     )
