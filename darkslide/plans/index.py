@@ -20,6 +20,15 @@ def postings(index: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("term", "id", "col", "pos")
 
 
+def write_postings(index: DataFrame, path: str, files: int | None = None) -> None:
+    """Stores the postings ranged by term and sorted, so that a term's rows lie in few row groups and the statistics of
+    the others exclude them. A term that fills many files is spread over them by id."""
+    made = postings(index)
+    keys = ["term", "id"]
+    ranged = made.repartitionByRange(files, *keys) if files else made.repartitionByRange(*keys)
+    ranged.sortWithinPartitions("term", "id", "col", "pos").write.mode("overwrite").parquet(path)
+
+
 def phrase_hits(p: DataFrame, phrase: match.Phrase) -> DataFrame:
     """(id, col, pos) of each occurrence of a phrase: its tokens joined by position."""
     inside = p.where(F.col("col").isin(list(phrase.columns)))

@@ -1,5 +1,7 @@
 """SQL twins of the general data-preparation queries."""
 
+from darkslide.queries import sql_entries
+
 P5_FOUND = """
 with images as (
   select snapshot_no, path, mtime, size,
@@ -108,4 +110,4 @@ P6_WIDE = (
     + " from typed group by image_id"
 )
 
-SQL = {"p5_found": P5_FOUND, "p6_found": P6_FOUND, "p6_wide": P6_WIDE}
+SQL = {**sql_entries.SQL, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p6_wide": P6_WIDE}

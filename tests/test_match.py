@@ -130,3 +130,13 @@ def test_order_of_results(spark):
     assert [r["filename"] for r in page] == ["É.jpg", "é.jpg"]
     best = search(images, df, Request("x")).collect()
     assert [r["score"] for r in best] == sorted(r["score"] for r in best)
+
+
+def test_stored_postings(spark, tmp_path):
+    df = frame(spark, TWO)
+    inverted.write_postings(df, str(tmp_path / "postings"), files=2)
+    stored = spark.read.parquet(str(tmp_path / "postings"))
+    query = match.parse("lens NOT nikon")
+    assert [r["id"] for r in inverted.matching_ids(stored, query).collect()] == [1]
+    plan = stored.where("term = 'lens'")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,lens)]" in plan
