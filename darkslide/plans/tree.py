@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from darkslide.sources.tables import written
+
 
 def folder_counts(images: DataFrame) -> DataFrame:
     """(folder, n): pictures that lie directly in each folder."""
@@ -19,8 +21,9 @@ def folder_tree(images: DataFrame) -> DataFrame:
     that lie directly in it. Depth counts from the common folder, or from the shallowest where there is none.
 
     The tree is built from the distinct folders, not from the pictures, so a folder that holds most pictures is one row
-    by then. The deepest common folder is the longest prefix that all of them have."""
-    counts = folder_counts(images)
+    by then; they are written once, as finding the deepest common folder reads them before the tree does. That folder is
+    the longest prefix that all of them have."""
+    counts = written(folder_counts(images), "folders")
     # A folder that begins with a separator has an empty first part, which is no folder.
     parts = F.split(F.translate("folder", "\\", "/"), "/")
     prefixes = counts.where("folder <> ''").select(

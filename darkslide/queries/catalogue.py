@@ -50,14 +50,16 @@ def _found(**wanted) -> Query:
     return lambda s, d: filtered(_images(s, d), Request(**wanted)).select(*RESULT)
 
 
+FIRST = 1000
+
+
 def _sorted(name: str) -> Query:
-    """The place of each picture in a named order. Places are counted per folder of the first letter, so that whole
-    tables can be compared without one task ordering them all."""
+    """The first thousand results in a named order, with their place: what a reader pages through."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        part = F.substring("filename", 1, 4)
-        w = Window.partitionBy(part).orderBy(*ordering(name))
-        return _images(s, d).select("id", part.alias("part"), F.row_number().over(w).alias("place"))
+        top = search(_images(s, d), _index(s, d), Request(sort=name, limit=FIRST))
+        place = F.row_number().over(Window.orderBy(*ordering(name)))
+        return top.select("id", place.alias("place"))
 
     return run
 

@@ -127,8 +127,7 @@ with scan as (select path, filename, mtime, size from image_snapshots
 
 
 def _place(order: str) -> str:
-    return f"""select id, substr(filename, 1, 4) as part,
-        row_number() over (partition by substr(filename, 1, 4) order by {order}, path) as place from images"""
+    return f"select id, row_number() over (order by {order}, path) as place from images qualify place <= 1000"
 
 
 def _facets(where: str) -> str:
