@@ -189,12 +189,17 @@ def _drawn(sizes: DataFrame, targets: DataFrame, fraction: float, seed: int) ->
         .withColumn("bucket", F.pmod(chance, F.lit(buckets)))
     )
     group = [*cell, "band", "bucket"]
-    running = Window.partitionBy(*cell).orderBy("band", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # Two levels of running sums, over the bands of a cell and over the buckets of a band, so neither is ever long.
+    counts = placed.groupBy(*group).agg(F.count("*").alias("here"))
+    earlier = (Window.unboundedPreceding, -1)
+    bands = counts.groupBy(*cell, "band").agg(F.sum("here").alias("all"))
+    by_band = Window.partitionBy(*cell).orderBy("band").rowsBetween(*earlier)
+    bands = bands.select(*cell, "band", F.coalesce(F.sum("all").over(by_band), F.lit(0)).alias("below"))
+    by_bucket = Window.partitionBy(*cell, "band").orderBy("bucket").rowsBetween(*earlier)
     before = (
-        placed.groupBy(*group)
-        .agg(F.count("*").alias("here"))
-        .withColumn("before", F.coalesce(F.sum("here").over(running), F.lit(0)))
-        .drop("here")
+        counts.withColumn("beside", F.coalesce(F.sum("here").over(by_bucket), F.lit(0)))
+        .join(bands, [*cell, "band"])
+        .select(*group, (F.col("below") + F.col("beside")).alias("before"))
     )
     within = F.row_number().over(Window.partitionBy(*group).orderBy("n_tokens", "chance", "doc_id"))
     rank = F.col("before") + within
