@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +19,31 @@ def tag_name(tag: Column) -> Column:
     return F.substring_index(tag, ":", -1)
 
 
-def entries(df: DataFrame, names: list[str], keep: list[str], json_col: str = "metadata_json") -> DataFrame:
-    """One row per entry whose bare name is in `names`: the columns `keep`, then tag, name, value, and
-    `siblings`, all entries of the same object.
+def _named(name: str) -> Callable[[Column], Column]:
+    return lambda e: tag_name(e["key"]) == name
+
+
+def entries(
+    df: DataFrame, names: list[str], keep: list[str], siblings: list[str] | None = None, json_col: str = "metadata_json"
+) -> DataFrame:
+    """One row per entry whose bare name is in `names`: the columns `keep`, then tag, name and value, and for each of
+    `siblings` the value of the first entry of the same object with that bare name, or null.
 
     Rows whose value is null give no entry. A cheap substring test keeps rows without any of the names from being
-    parsed at all."""
+    parsed at all, and siblings are looked up once for an object, before its entries become rows."""
     has_any = F.lit(False)
     for n in names:
         has_any = has_any | F.col(json_col).contains(n)
     parsed = df.where(has_any).select(*keep, F.map_entries(tag_map(F.col(json_col))).alias("__all"))
     wanted = F.filter("__all", lambda e: tag_name(e["key"]).isin(names) & e["value"].isNotNull())
-    return parsed.select(*keep, "__all", F.explode(wanted).alias("__e")).select(
+    found = [
+        F.get(F.filter("__all", _named(n)), F.lit(0))["value"].alias(n)
+        for n in siblings or []
+    ]
+    return parsed.select(*keep, *found, F.explode(wanted).alias("__e")).select(
         *keep,
         F.col("__e.key").alias("tag"),
         tag_name(F.col("__e.key")).alias("name"),
         F.col("__e.value").alias("value"),
-        F.col("__all").alias("siblings"),
+        *(siblings or []),
     )
-
-
-def sibling(name: str, siblings: str = "siblings") -> Column:
-    """The value of the first entry of the same object that has this bare name, or null."""
-    return F.get(F.filter(F.col(siblings), lambda e: tag_name(e["key"]) == name), F.lit(0))["value"]

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from darkslide.sources.tables import written
+
 # Unit -> (scale, offset) to the base unit of its dimension: base = scale * value + offset.
 LENGTH = {
     "um": (1e-6, 0.0), "mm": (1e-3, 0.0), "cm": (1e-2, 0.0), "m": (1.0, 0.0), "km": (1e3, 0.0), "in": (0.0254, 0.0),
@@ -93,40 +95,36 @@ def number(text: Column) -> Column:
     """A written number: commas group thousands where every group after the first has three digits and the first
     doesn't begin with 0; a single other comma is a decimal comma. Null for anything else."""
     grouped = text.rlike(r"^[+-]?[1-9][0-9]{0,2}(?:,[0-9]{3})+(?:[.][0-9]*)?$")
-    decimal = text.rlike(r"^[+-]?[0-9]+,[0-9]+$")
     return (
-        F.when(grouped, F.regexp_replace(text, ",", ""))
-        .when(decimal, F.regexp_replace(text, ",", "."))
-        .otherwise(text)
+        F.when(~text.contains(","), text)
+        .when(grouped, F.replace(text, F.lit(","), F.lit("")))
+        .when(~text.contains("."), F.replace(text, F.lit(","), F.lit(".")))
         .try_cast("double")
     )
 
 
 def measured(df: DataFrame) -> DataFrame:
-    """`df` plus x, the number as written, inches beside it for feet and inches, and unit, the rest in lower case."""
-    clean = F.regexp_replace(F.col("value"), r"^[\s ]+|[\s ]+$", "")
-    clean = F.translate(clean, "−µ", "-μ")
+    """`df` plus x, the number as written, inches added to feet as a fraction, and unit, the rest in lower case. The
+    generators keep the optimiser from copying the parse into every condition on it."""
+    clean = F.translate(F.regexp_replace(F.col("value"), r"^[\s\u00a0|]+|[\s\u00a0]+$", ""), "−µ", "-μ")
+    # One pass of each pattern rewrites a value to top|bottom|inches|unit; a value that neither fits has no bar.
     both = r"""^([+-]?[0-9]+(?:[.][0-9]+)?)\s*(?:'|′|ft|feet)\s*([0-9]+(?:[.][0-9]+)?)\s*(?:"|″|in|inches)$"""
-    one = r"^([+-]?(?:[0-9][0-9.,]*|[.][0-9]+))\s*(?:/\s*([0-9]+(?:[.][0-9]+)?))?\s*([^0-9]*)$"
-    rest = F.lower(F.trim(F.regexp_extract("__clean", one, 3)))
-    below = F.trim(F.regexp_replace(rest, r"(above|below) sea level$", ""))
-    top, bottom = number(F.regexp_extract("__clean", one, 1)), F.regexp_extract("__clean", one, 2)
-    ratio = F.when(bottom == "", top).otherwise(F.try_divide(top, bottom.try_cast("double")))
+    one = r"^([+-]?(?:[0-9][0-9.,]*|[.][0-9]+))\s*(?:/\s*([0-9]+(?:[.][0-9]+)?))?\s*([^0-9|]*)$"
+    form = F.regexp_replace(F.regexp_replace(clean, both, "$1||$2|ft"), one, "$1|$2||$3")
+    part = F.col("__p")
+    rest = F.lower(F.trim(part[3]))
+    below = rest.endswith("below sea level")
+    unit = F.regexp_replace(F.when(rest.endswith(" sea level"), F.regexp_replace(rest, r"\s*(above|below) sea level$", ""))
+                            .otherwise(rest), "[.]$", "")
+    ratio = F.when(part[1] == "", number(part[0])).otherwise(F.try_divide(number(part[0]), part[1].try_cast("double")))
+    inches = F.when(part[2] == "", 0.0).otherwise(part[2].try_cast("double") / 12)
+    made = F.struct((ratio + inches).alias("x"), unit.alias("unit"), below.alias("__below"))
+    parts = F.split(form, r"\|")
     return (
-        df.withColumn("__clean", clean)
-        .withColumn("__feet", F.col("__clean").rlike(both))
-        .withColumn(
-            "x",
-            F.when(
-                F.col("__feet"),
-                F.regexp_extract("__clean", both, 1).try_cast("double")
-                + F.regexp_extract("__clean", both, 2).try_cast("double") / 12,
-            ).when(F.col("__clean").rlike(one), ratio),
-        )
-        .withColumn("unit", F.when(F.col("__feet"), "ft").otherwise(F.regexp_replace(below, "[.]$", "")))
-        .withColumn("__below", rest.endswith("below sea level"))
+        df.select("*", F.explode(F.array(F.when(form.contains("|"), parts))).alias("__p"))
+        .select(*df.columns, F.explode(F.array(made)).alias("__m"))
+        .select(*df.columns, "__m.*")
         .where(F.col("x").isNotNull() & ~F.isnan("x"))
-        .drop("__clean", "__feet")
     )
 
 
@@ -207,7 +205,7 @@ def harmonise(df: DataFrame) -> DataFrame:
     Amounts are rounded to the nearest whole number, halves away from zero. A column of `df` named amount is replaced;
     other columns stay, whatever their names.
 
-    The statistics are one pass with partial aggregation; the driver gets one row for each quantity and spelling, and
+    Values are parsed once and kept in the shared folder. The statistics are one pass with partial aggregation; the driver gets one row for each quantity and spelling, and
     conversions come back as a literal map, so the second pass is a projection without any shuffle."""
     given = df
     df = given.select(F.struct("*").alias("__in"), "quantity", "value", "bare_unit", "reference")
@@ -215,6 +213,7 @@ def harmonise(df: DataFrame) -> DataFrame:
     density = F.col("quantity") == "XResolution"
     implied = F.when(density & (F.col("unit") == ""), F.coalesce(bare, F.lit(""))).otherwise(F.col("unit"))
     values = measured(df.where(F.col("quantity").isin(list(QUANTITIES)))).withColumn("source", implied)
+    values = written(values.drop("value"), "values")
     units = resolve(source_statistics(values))
     if not units:
         return given.withColumn("amount", F.lit(None).cast("bigint")).limit(0)

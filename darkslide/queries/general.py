@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.functions.entries import entries, sibling
+from darkslide.functions.entries import entries
 from darkslide.functions.paths import with_longest_folder
 from darkslide.operators.lists import explode_lists
 from darkslide.operators.snapshots import snapshot_changes
 from darkslide.operators.timestamps import normalise_times
 from darkslide.operators.units import harmonise
 from darkslide.operators.wide import unreadable, widen
-from darkslide.sources.tables import table
+from darkslide.sources.tables import spread, table
 
 TIME_NAMES = ["DateTimeOriginal", "CreateDate", "ModifyDate", "DateCreated", "CreationTime", "GPSDateTime"]
 LIST_NAMES = ["Keywords", "Subject", "XPKeywords", "HierarchicalSubject"]
@@ -33,15 +33,15 @@ def p1_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     folders = table(spark, sf_dir, "indexed_folders").select("id", "path")
     folders = folders.join(zones, folders["id"] == zones["folder_id"], "left").select("path", "zone_name")
     images = with_longest_folder(
-        table(spark, sf_dir, "images").select("id", "path", "metadata_json", "mtime"),
+        spread(table(spark, sf_dir, "images").select("id", "path", "metadata_json", "mtime")),
         folders,
         "path",
         {"zone_name": "folder_zone"},
     )
-    written = entries(images, TIME_NAMES, ["id", "folder_zone"])
+    written = entries(images, TIME_NAMES, ["id", "folder_zone"], ["OffsetTimeOriginal", "OffsetTime"])
     own = (
-        F.when(F.col("name") == "DateTimeOriginal", sibling("OffsetTimeOriginal"))
-        .when(F.col("name") == "ModifyDate", sibling("OffsetTime"))
+        F.when(F.col("name") == "DateTimeOriginal", F.col("OffsetTimeOriginal"))
+        .when(F.col("name") == "ModifyDate", F.col("OffsetTime"))
         .when(F.col("name") == "GPSDateTime", F.lit("UTC"))
     )
     values = written.select(
@@ -81,13 +81,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each quantity of the images in the unit common to its kind."""
-    measured = entries(table(spark, sf_dir, "images"), QUANTITY_NAMES, ["id"]).select(
+    images = spread(table(spark, sf_dir, "images").select("id", "metadata_json"))
+    measured = entries(images, QUANTITY_NAMES, ["id"], ["ResolutionUnit", "GPSAltitudeRef"]).select(
         "id",
         "tag",
         F.col("name").alias("quantity"),
         "value",
-        sibling("ResolutionUnit").alias("bare_unit"),
-        sibling("GPSAltitudeRef").alias("reference"),
+        F.col("ResolutionUnit").alias("bare_unit"),
+        F.col("GPSAltitudeRef").alias("reference"),
     )
     return harmonise(measured).select("id", "tag", "amount")
 
