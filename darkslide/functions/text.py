@@ -37,6 +37,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(folded(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def token_count(c: Column) -> Column:
+    """How many tokens a text has. Folding changes letters, not where tokens end, but for marks of their own."""
+    return F.regexp_count(F.regexp_replace(F.coalesce(c, F.lit("")), MARKS, ""), F.lit(TOKEN))
+
+
 def fold_query(text: str) -> list[str]:
     """The tokens of a query's text, by the same rules, on the driver."""
     import regex

@@ -297,10 +297,40 @@ def phrases(node: Node | None) -> list[Phrase]:
     return phrases(node.left) if isinstance(node, Without) else phrases(node.left) + phrases(node.right)
 
 
+def plausible(node: Node | None, folded: dict[str, Column]) -> Column:
+    """A cheap condition that every match meets: the folded texts hold the tokens somewhere. It decides which rows are
+    worth cutting into tokens."""
+    if node is None:
+        return F.lit(False)
+    if isinstance(node, Phrase):
+        out = F.lit(False)
+        for c in node.columns:
+            inside = F.lit(True)
+            for t in node.tokens:
+                inside = inside & folded[c].contains(t)
+            out = out | inside
+        return out
+    if isinstance(node, Near):
+        out = F.lit(True)
+        for p in node.phrases:
+            out = out & plausible(p, folded)
+        return out
+    left = plausible(node.left, folded)
+    if isinstance(node, Without):
+        return left
+    right = plausible(node.right, folded)
+    return left & right if isinstance(node, Both) else left | right
+
+
 def frequency(p: Phrase, tokens: dict[str, Column]) -> Column:
     out = F.lit(0)
     for c in p.columns:
-        out = out + F.size(positions(tokens[c], p))
+        if len(p.tokens) == 1 and not p.first:
+            t = p.tokens[0]
+            found = F.filter(tokens[c], (lambda x: x.startswith(t)) if p.prefix else (lambda x: x == t))
+        else:
+            found = positions(tokens[c], p)
+        out = out + F.size(found)
     return out
 
 

@@ -9,8 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkslide.functions.text import ascii_lower, extension, tokens
+from darkslide.functions.text import ascii_lower, extension, folded, token_count, tokens
 from darkslide.plans import match
+from darkslide.sources.tables import spread
 
 # Extensions that a filter also takes, and the named orders.
 ALIASES = {"jpg": ("jpg", "jpeg")}
@@ -89,29 +90,34 @@ def hits(images: DataFrame, index: DataFrame, r: Request, with_ext: bool = True)
     if not r.query.strip():
         return rows
     node = match.parse(r.query)
-    return rows.join(tokenised(index).where(match.matches(node, token_columns())).select("id"), "id", "left_semi")
+    found = candidates(index, node).where(match.matches(node, token_columns()))
+    return rows.join(found.select("id"), "id", "left_semi")
+
+
+def candidates(index: DataFrame, node: match.Node | None) -> DataFrame:
+    """The tokens of the rows that can match: the others are never cut into tokens."""
+    plain = {c: folded(F.coalesce(F.col(c), F.lit(""))) for c in match.COLUMNS}
+    return tokenised(spread(index).where(match.plausible(node, plain)))
 
 
 def statistics(index: DataFrame, node: match.Node | None) -> tuple[dict[match.Phrase, float], float]:
-    """The weight of each phrase and the average length: one aggregate over the index."""
+    """The weight of each phrase and the average length: tokens are only counted in all rows, and matched in those that
+    hold them."""
     found = sorted(set(match.phrases(node)), key=repr)
-    length, columns = F.lit(0), token_columns()
+    length = F.lit(0)
     for c in match.COLUMNS:
-        length = length + F.size(columns[c])
-    row = (
-        tokenised(index)
-        .agg(
-            F.count("*").alias("n"),
-            F.avg(length).alias("average"),
-            *[F.count_if(match.phrase_matches(p, columns)).alias(f"df{i}") for i, p in enumerate(found)],
-        )
-        .first()
-    )
-    n = row["n"]
-    weights = {}
-    for i, p in enumerate(found):
-        value = math.log((n - row[f"df{i}"] + 0.5) / (row[f"df{i}"] + 0.5))
-        weights[p] = value if value > 0 else match.LEAST_IDF
+        length = length + token_count(F.col(c))
+    row = spread(index).agg(F.count("*").alias("n"), F.avg(length).alias("average")).first()
+    columns = token_columns()
+    weights: dict[match.Phrase, float] = {}
+    if found:
+        any_of = found[0]
+        for p in found[1:]:
+            any_of = match.Either(any_of, p)
+        counts = [F.count_if(match.phrase_matches(p, columns)) for p in found]
+        for p, df in zip(found, candidates(index, any_of).agg(*counts).first(), strict=True):
+            value = math.log((row["n"] - df + 0.5) / (df + 0.5))
+            weights[p] = value if value > 0 else match.LEAST_IDF
     return weights, row["average"] or 1.0
 
 
@@ -129,7 +135,7 @@ def search(images: DataFrame, index: DataFrame, r: Request) -> DataFrame:
         node = match.parse(r.query)
         weights, average = statistics(index, node)
         scored = (
-            tokenised(index)
+            candidates(index, node)
             .where(match.matches(node, token_columns()))
             .select("id", match.score(node, token_columns(), weights, average).alias("score"))
         )
