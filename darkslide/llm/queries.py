@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkslide.llm import encoding, mixing, tokenizer, truncation
-from darkslide.sources.tables import table
+from darkslide.sources.tables import spread, table
 
 # Entries that are lists, numbers or times, not text in one language.
 NOT_TEXT = ["Keywords", "Subject", "XPKeywords", "HierarchicalSubject"]
@@ -23,10 +23,10 @@ def _model(spark: SparkSession, sf_dir: str) -> encoding.Model:
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field_name, id, json) of both fields; an index text repeats its keys and values as JSON at its end."""
-    images = table(spark, sf_dir, "images").select(
+    images = spread(table(spark, sf_dir, "images").select("id", "metadata_json")).select(
         F.lit("metadata_json").alias("field_name"), "id", F.col("metadata_json").alias("json")
     )
-    index = table(spark, sf_dir, "images_fts").select(
+    index = spread(table(spark, sf_dir, "images_fts").select("id", "metadata_text")).select(
         F.lit("metadata_text").alias("field_name"), "id", _index_json(F.col("metadata_text")).alias("json")
     )
     return images.unionByName(index)
@@ -48,7 +48,7 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document's text."""
-    return tokenizer.tokenise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokenizer.tokenise(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,14 +61,18 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents whose text was cut off before its end."""
-    return truncation.find_truncated(table(spark, sf_dir, "documents")).select("doc_id")
+    return truncation.find_truncated(_texts(spark, sf_dir)).select("doc_id")
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source cuts its texts off."""
-    documents = table(spark, sf_dir, "documents")
+    documents = _texts(spark, sf_dir)
     return truncation.truncation_rates(documents, truncation.find_truncated(documents))
 
 
