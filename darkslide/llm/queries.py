@@ -23,10 +23,10 @@ def _model(spark: SparkSession, sf_dir: str) -> encoding.Model:
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field_name, id, json) of both fields; an index text repeats its keys and values as JSON at its end."""
-    images = spread(table(spark, sf_dir, "images").select("id", "metadata_json")).select(
+    images = spread(table(spark, sf_dir, "images").select("id", "metadata_json"), "id").select(
         F.lit("metadata_json").alias("field_name"), "id", F.col("metadata_json").alias("json")
     )
-    index = spread(table(spark, sf_dir, "images_fts").select("id", "metadata_text")).select(
+    index = spread(table(spark, sf_dir, "images_fts").select("id", "metadata_text"), "id").select(
         F.lit("metadata_text").alias("field_name"), "id", _index_json(F.col("metadata_text")).alias("json")
     )
     return images.unionByName(index)
@@ -48,7 +48,7 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document's text."""
-    return tokenizer.tokenise(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return tokenizer.tokenise(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
