@@ -34,7 +34,12 @@ def folded(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of letters, digits and private characters of the folded text, in order; null gives no tokens."""
-    return F.regexp_extract_all(folded(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    return cut(folded(F.coalesce(c, F.lit(""))))
+
+
+def cut(text: Column) -> Column:
+    """The tokens of a folded text."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def token_count(c: Column) -> Column:

@@ -14,7 +14,7 @@ from darkslide.sources.tables import spread
 
 def postings(index: DataFrame) -> DataFrame:
     """(term, id, col, pos): one row per token; written sorted by term it prunes row groups by a query's terms."""
-    index = spread(index)
+    index = spread(index, "id")
     parts = [
         index.select("id", F.lit(c).alias("col"), F.posexplode(tokens(F.col(c))).alias("pos", "term"))
         for c in match.COLUMNS

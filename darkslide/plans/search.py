@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkslide.functions.text import ascii_lower, extension, folded, token_count, tokens
+from darkslide.functions.text import ascii_lower, cut, extension, folded, token_count
 from darkslide.plans import match
 from darkslide.sources.tables import spread
 
@@ -59,13 +59,23 @@ def has_extension(filename: Column, ext: str) -> Column:
     return out
 
 
-def tokenised(index: DataFrame) -> DataFrame:
-    """The index with an array of tokens for each of its columns.
+def folded_texts(index: DataFrame) -> DataFrame:
+    """The index with its folded texts, each folded once: the generator keeps the optimiser from copying the folding into
+    every condition on it."""
+    made = F.struct(*[folded(F.coalesce(F.col(c), F.lit(""))).alias(f"__{c}") for c in match.COLUMNS])
+    return spread(index, "id").select("id", F.explode(F.array(made)).alias("__t")).select("id", "__t.*")
+
+
+def with_tokens(texts: DataFrame) -> DataFrame:
+    """Folded texts cut into arrays of tokens; behind a generator too, or the cutting would run again for each position
+    of a phrase."""
+    made = F.struct(*[cut(F.col(f"__{c}")).alias(f"__{c}") for c in match.COLUMNS])
+    return texts.select("id", F.explode(F.array(made)).alias("__t")).select("id", "__t.*")
 
-    The generator keeps the optimiser from copying the tokeniser into every condition on the tokens, where it would run
-    again for each position of a phrase."""
-    made = F.struct(*[tokens(F.col(c)).alias(f"__{c}") for c in match.COLUMNS])
-    return index.select("id", F.explode(F.array(made)).alias("__t")).select("id", "__t.*")
+
+def tokenised(index: DataFrame) -> DataFrame:
+    """The index with an array of tokens for each of its columns."""
+    return with_tokens(folded_texts(index))
 
 
 def token_columns() -> dict[str, Column]:
@@ -96,8 +106,7 @@ def hits(images: DataFrame, index: DataFrame, r: Request, with_ext: bool = True)
 
 def candidates(index: DataFrame, node: match.Node | None) -> DataFrame:
     """The tokens of the rows that can match: the others are never cut into tokens."""
-    plain = {c: folded(F.coalesce(F.col(c), F.lit(""))) for c in match.COLUMNS}
-    return tokenised(spread(index).where(match.plausible(node, plain)))
+    return with_tokens(folded_texts(index).where(match.plausible(node, token_columns())))
 
 
 def statistics(index: DataFrame, node: match.Node | None) -> tuple[dict[match.Phrase, float], float]:
@@ -107,7 +116,7 @@ def statistics(index: DataFrame, node: match.Node | None) -> tuple[dict[match.Ph
     length = F.lit(0)
     for c in match.COLUMNS:
         length = length + token_count(F.col(c))
-    row = spread(index).agg(F.count("*").alias("n"), F.avg(length).alias("average")).first()
+    row = spread(index, "id").agg(F.count("*").alias("n"), F.avg(length).alias("average")).first()
     columns = token_columns()
     weights: dict[match.Phrase, float] = {}
     if found:

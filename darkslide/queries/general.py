@@ -33,7 +33,7 @@ def p1_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     folders = table(spark, sf_dir, "indexed_folders").select("id", "path")
     folders = folders.join(zones, folders["id"] == zones["folder_id"], "left").select("path", "zone_name")
     images = with_longest_folder(
-        spread(table(spark, sf_dir, "images").select("id", "path", "metadata_json", "mtime")),
+        spread(table(spark, sf_dir, "images").select("id", "path", "metadata_json", "mtime"), "id"),
         folders,
         "path",
         {"zone_name": "folder_zone"},
@@ -81,7 +81,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each quantity of the images in the unit common to its kind."""
-    images = spread(table(spark, sf_dir, "images").select("id", "metadata_json"))
+    images = spread(table(spark, sf_dir, "images").select("id", "metadata_json"), "id")
     measured = entries(images, QUANTITY_NAMES, ["id"], ["ResolutionUnit", "GPSAltitudeRef"]).select(
         "id",
         "tag",

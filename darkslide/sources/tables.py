@@ -14,11 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores, for work that costs far more than moving its input: a table in fewer pieces than there are
-    cores is dealt out anew. Tables in more pieces, and so all large ones, stay as they are."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` over all cores by `key`, for work that costs far more than moving its input: a table in fewer pieces than
+    there are cores is dealt out anew. Tables in more pieces, and so all large ones, stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
