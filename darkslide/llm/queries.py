@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkslide.llm import encoding, mixing, tokenizer, truncation
-from darkslide.sources.tables import spread, table
+from darkslide.sources.tables import spread, table, union
 
 # Entries that are lists, numbers or times, not text in one language.
 NOT_TEXT = ["Keywords", "Subject", "XPKeywords", "HierarchicalSubject"]
@@ -29,7 +29,7 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = spread(table(spark, sf_dir, "images_fts").select("id", "metadata_text"), "id").select(
         F.lit("metadata_text").alias("field_name"), "id", _index_json(F.col("metadata_text")).alias("json")
     )
-    return images.unionByName(index)
+    return union(images, index)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
