@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from darkslide.functions.text import ascii_lower
 from darkslide.plans.search import under
+from darkslide.sources.tables import guard, union
 
 STAMP = ["path", "mtime", "size"]
 
@@ -45,7 +46,7 @@ def upsert(images: DataFrame, incoming: DataFrame) -> DataFrame:
         F.coalesce("__id", F.xxhash64("path")).alias("id") if c == "id" else F.col(c) for c in images.columns
     ]
     kept = images.join(incoming.select("path"), "path", "left_anti").select(*images.columns)
-    return kept.unionByName(taken.select(*rows))
+    return union(kept, taken.select(*rows))
 
 
 def below_any(path: Column, roots: list[str]) -> Column:
@@ -64,7 +65,7 @@ def delete_missing(images: DataFrame, kept: DataFrame, roots: list[str] | None =
         return images.join(paths, "path", "left_semi").select(*images.columns)
     scoped = images.where(below_any(F.col("path"), roots))
     others = images.where(~below_any(F.col("path"), roots))
-    return others.unionByName(scoped.join(paths, "path", "left_semi").select(*images.columns))
+    return union(others, scoped.join(paths, "path", "left_semi").select(*images.columns))
 
 
 def delete_below(images: DataFrame, folder: str) -> DataFrame:
@@ -90,7 +91,7 @@ class Catalog:
     dies leaves the old one."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+        self.spark, self.root = guard(spark), root
         os.makedirs(root, exist_ok=True)
 
     def _pointer(self) -> str:

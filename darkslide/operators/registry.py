@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from darkslide.sources.tables import union
+
 COLUMNS = [
     "id",
     "path",
@@ -71,7 +73,7 @@ def add(registry: DataFrame, path: str, display_name: str = "", recursive: bool
     row = registry.sparkSession.createDataFrame(
         [(number, path, name, True, recursive, "new", 0, None, None)], registry.select(*COLUMNS).schema
     )
-    return registry.select(*COLUMNS).unionByName(row)
+    return union(registry.select(*COLUMNS), row)
 
 
 def remove(registry: DataFrame, number: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from darkslide.sources.tables import guard
+
 
 def in_force(df: DataFrame, key: str, compare: list[str], snapshot: str, delivered: str) -> DataFrame:
     """One row per snapshot and key: of several rows the latest delivered counts; of rows delivered at the same moment
@@ -36,6 +38,7 @@ def snapshot_changes(
 
     The number of snapshots is the number of deliveries, so the table of consecutive numbers is tiny whatever the size
     of the snapshots; it is what the planner may broadcast."""
+    guard(df.sparkSession)  # EXCEPT ALL is planned as a union
     rows = in_force(df, key, compare, snapshot, delivered)
     values = [f"__c{i}" for i in range(len(compare))]
     order = Window.orderBy("__n")

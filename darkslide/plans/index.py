@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkslide.functions.text import tokens
 from darkslide.plans import match
-from darkslide.sources.tables import spread
+from darkslide.sources.tables import spread, union
 
 
 def postings(index: DataFrame) -> DataFrame:
@@ -19,7 +17,7 @@ def postings(index: DataFrame) -> DataFrame:
         index.select("id", F.lit(c).alias("col"), F.posexplode(tokens(F.col(c))).alias("pos", "term"))
         for c in match.COLUMNS
     ]
-    return reduce(DataFrame.unionByName, parts).select("term", "id", "col", "pos")
+    return union(*parts).select("term", "id", "col", "pos")
 
 
 def write_postings(index: DataFrame, path: str, files: int | None = None) -> None:
@@ -51,7 +49,7 @@ def matching_ids(p: DataFrame, node: match.Node | None) -> DataFrame:
         return phrase_hits(p, node).select("id").distinct()
     if isinstance(node, match.Near):
         found = [phrase_hits(p, x).withColumn("w", F.lit(i)) for i, x in enumerate(node.phrases)]
-        spots = reduce(DataFrame.unionByName, found).groupBy("id", "col").agg(
+        spots = union(*found).groupBy("id", "col").agg(
             *[F.collect_set(F.when(F.col("w") == i, F.col("pos"))).alias(f"p{i}") for i in range(len(found))]
         )
         ok = F.lit(False)
@@ -61,5 +59,5 @@ def matching_ids(p: DataFrame, node: match.Node | None) -> DataFrame:
         return spots.where(ok).select("id").distinct()
     left, right = matching_ids(p, node.left), matching_ids(p, node.right)
     if isinstance(node, match.Either):
-        return left.unionByName(right).distinct()
+        return union(left, right).distinct()
     return left.join(right, "id", "left_semi" if isinstance(node, match.Both) else "left_anti")

@@ -12,7 +12,7 @@ from darkslide.operators.snapshots import snapshot_changes
 from darkslide.operators.timestamps import normalise_times
 from darkslide.operators.units import harmonise
 from darkslide.operators.wide import unreadable, widen
-from darkslide.sources.tables import spread, table
+from darkslide.sources.tables import spread, table, union
 
 TIME_NAMES = ["DateTimeOriginal", "CreateDate", "ModifyDate", "DateCreated", "CreationTime", "GPSDateTime"]
 LIST_NAMES = ["Keywords", "Subject", "XPKeywords", "HierarchicalSubject"]
@@ -62,7 +62,7 @@ def p1_times(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("own_zone"),
         F.lit(None).cast("string").alias("local_zone"),
     )
-    return normalise_times(values.unionByName(stamps)).select(
+    return normalise_times(union(values, stamps)).select(
         "id", "tag", "utc_second", "reading", "posterior", "ambiguous"
     )
 
@@ -100,10 +100,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = registry.columns[registry.columns.index("path") + 1 :]
     folders = snapshot_changes(registry, "path", later)
     columns = ["entity", "snapshot_no", "path", "change_kind"]
-    return (
-        images.withColumn("entity", F.lit("image"))
-        .select(columns)
-        .unionByName(folders.withColumn("entity", F.lit("folder")).select(columns))
+    return union(
+        images.withColumn("entity", F.lit("image")).select(columns),
+        folders.withColumn("entity", F.lit("folder")).select(columns),
     )
 
 

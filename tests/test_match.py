@@ -140,3 +140,12 @@ def test_stored_postings(spark, tmp_path):
     assert [r["id"] for r in inverted.matching_ids(stored, query).collect()] == [1]
     plan = stored.where("term = 'lens'")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,lens)]" in plan
+
+
+def test_unions_of_equally_partitioned_rows_stay_distinct(spark):
+    """Spread postings make the inputs of the union look alike; copies must still be found."""
+    rows = [(f"f{i}.jpg", f"ka lo{i % 3}" + (" mi" if i % 2 else "")) for i in range(300)]
+    df = frame(spark, rows)
+    for q in ("(ka OR lo1) AND mi", "(ka OR mi) NOT lo2", "ka OR mi OR lo1"):
+        got = [r["id"] for r in inverted.matching_ids(inverted.postings(df), match.parse(q)).collect()]
+        assert len(got) == len(set(got)) and sorted(got) == ids(df, q)
