@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def slashed(path: Column) -> Column:
     """The path with every separator written /; same length, used only to find positions."""
-    return F.translate(path, "\\", "/")
+    return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
 def depth(path: Column) -> Column:
@@ -19,7 +19,7 @@ def depth(path: Column) -> Column:
 def ancestor(path: Column, parts: int) -> Column:
     """The first `parts` parts of the path, as written; null unless something follows them."""
     head = F.length(F.substring_index(slashed(path), "/", parts))
-    return F.when(depth(path) > parts, F.substring(path, F.lit(1), head))
+    return F.when(head < F.length(path), F.substring(path, F.lit(1), head))
 
 
 def with_longest_folder(df: DataFrame, folders: DataFrame, path: str, fields: dict[str, str]) -> DataFrame:

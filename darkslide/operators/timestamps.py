@@ -79,9 +79,10 @@ def clock_seconds(hour: Column, minute: Column, second: Column) -> Column:
 
 def local_seconds(year: Column, month: Column, day: Column, clock: Column) -> Column:
     """Seconds from 1970 to a calendar time read as UTC; null if there is no such time."""
-    date = F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
-    days = F.date_diff(date, F.lit("1970-01-01").cast("date")).cast("long")
-    return F.when(year.between(1800, 2199), days * 86400 + clock)
+    dash = F.lit("-")
+    text = F.concat(year.cast("string"), dash, month.cast("string"), dash, day.cast("string"))
+    days = F.date_diff(F.when(year.between(1800, 2199), text).try_cast("date"), F.lit("1970-01-01").cast("date"))
+    return days.cast("long") * 86400 + clock
 
 
 OFFSET = r"^[+\-][0-9]{2}(?:[0-9]{2})?$"

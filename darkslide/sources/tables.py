@@ -10,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def guard(spark: SparkSession) -> SparkSession:
-    """Turns off that a union of equally partitioned inputs counts as partitioned itself. In Spark 4.1 adaptive execution
-    may read those inputs in different pieces after all; rows with one key then stay apart, and a distinct() over the
-    union was seen to keep copies. Plans here don't need it: a union that feeds a join or aggregate is exchanged."""
+    """Sets two properties of the session that plans here count on.
+
+    A union of equally partitioned inputs must not count as partitioned itself: in Spark 4.1 adaptive execution may read
+    those inputs in different pieces after all; rows with one key then stay apart, and a distinct() over the union was
+    seen to keep copies. A union that feeds a join or aggregate is exchanged instead.
+
+    Generated methods over 8,000 bytes are run operator by operator: HotSpot never compiles them, and the parse of times
+    took more than half as long again."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
