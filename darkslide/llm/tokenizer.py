@@ -139,10 +139,8 @@ def encoder(tokenizers: str = TOKENIZERS, name: str = BYTE_BPE) -> Encoder:
 
 def tokenise(df: DataFrame, text: str = "text", ids: str = "ids", tokenizers: str = TOKENIZERS) -> DataFrame:
     """`df` with the column `ids`, the ids of its text, in place of the text. Null and empty texts give an empty list.
-    Whole texts are encoded where they are; nothing is shuffled."""
-    keep = [c for c in df.columns if c != text]
-    if ids in keep:
-        raise ValueError(f"the input already has a column {ids!r}")
+    A column that has the name already is replaced. Whole texts are encoded where they are; nothing is shuffled."""
+    keep = [c for c in df.columns if c not in (text, ids)]
     kinds = dict(df.dtypes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +156,9 @@ def tokenise(df: DataFrame, text: str = "text", ids: str = "ids", tokenizers: st
 
 
 def count_tokens(df: DataFrame, text: str = "text", size: str = "n_tokens", tokenizers: str = TOKENIZERS) -> DataFrame:
-    """`df` with the column `size`, the number of tokens of its text, in place of the text."""
-    keep = [c for c in df.columns if c != text]
-    if size in keep:
-        raise ValueError(f"the input already has a column {size!r}")
+    """`df` with the column `size`, the number of tokens of its text, in place of the text and of a column that has the
+    name already."""
+    keep = [c for c in df.columns if c not in (text, size)]
     kinds = dict(df.dtypes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
