@@ -131,11 +131,9 @@ def _unquoted(items: pa.Array) -> pa.Array:
 def explode_lists(df: DataFrame, value: str = "value", hierarchical: str = "hierarchical") -> DataFrame:
     """The other columns of `df`, then pos (from 1) and item, for each item packed in column `value`.
 
-    Rows whose value holds no item give no row. Columns named pos or item in `df` are not allowed. The work is one
+    Rows whose value holds no item give no row. A column of `df` named pos or item is replaced. The work is one
     narrow stage: rows are split where they are, whatever value is common, and nothing is shuffled."""
-    keep = [c for c in df.columns if c not in (value, hierarchical)]
-    if {"pos", "item"} & set(keep):
-        raise ValueError("the input must not have columns named pos or item")
+    keep = [c for c in df.columns if c not in (value, hierarchical, "pos", "item")]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

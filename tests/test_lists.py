@@ -94,6 +94,8 @@ def test_explode_keeps_positions_and_other_columns(spark):
         (3, "H", 2, "r|s"),
     ]
     assert explode_lists(df.limit(0)).count() == 0
+    clash = df.withColumnRenamed("tag", "item")
+    assert explode_lists(clash).columns == ["id", "pos", "item"]
 
 
 def test_query_on_json(spark, tmp_path):

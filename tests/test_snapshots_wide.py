@@ -124,3 +124,18 @@ def test_join_tree_keeps_every_column(spark):
     got = outer_join_all(spine, tables, fan=3)
     assert got.count() == 6 and len(got.columns) == 12
     assert got.where("__entity = 4").first()["c10"] == 10
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(1, T0, "a", 1.0, 1, "x"), (2, T0, "a", 1.0, 1, "y")]
+    df = spark.createDataFrame(rows, SNAP + ", change_kind string")
+    assert snapshot_changes(df, "path", ["mtime", "size"]).count() == 0
+    types = spark.createDataFrame(TYPES, "tag string, column_name string, value_type string")
+    meta = spark.createDataFrame([(1, "I", "5", T0, "z", 3)], META + ", column_name string, n int")
+    assert widen(meta, types).first()["n"] == 5
+
+
+def test_one_key_with_a_third_of_all_rows(spark):
+    rows = [(1 + i % 2, T0 + timedelta(seconds=i), "hot" if i % 3 else f"p{i}", float(i % 5), i) for i in range(3000)]
+    got = changes(spark, rows)
+    assert ("hot" in {p for _, p, _ in got}) and len(got) == len({(n, p) for n, p, _ in got})
