@@ -6,12 +6,12 @@ import math
 import posixpath
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkslide.functions.text import ascii_lower, cut, extension, folded, token_count
 from darkslide.plans import match
-from darkslide.sources.tables import spread
+from darkslide.sources.tables import shuffle_partitions, spread, written
 
 # Extensions that a filter also takes, and the named orders.
 ALIASES = {"jpg": ("jpg", "jpeg")}
@@ -137,6 +137,19 @@ def ordering(name: str) -> list[Column]:
     return [key.desc() if down else key.asc(), F.col("path").asc()]
 
 
+def places(rows: DataFrame, name: str) -> DataFrame:
+    """(id, place) of every row in a named order. Rows are dealt out by ranges of the order and counted in each, so no
+    task orders them all; paths are part of the order, so rows with one name or time can be parted too."""
+    column = ORDERS.get(name, ORDERS[DEFAULT_ORDER])[0]
+    dealt = rows.select("id", *{"path", column}).repartitionByRange(shuffle_partitions(rows.sparkSession), *ordering(name))
+    dealt = written(dealt.withColumn("__part", F.spark_partition_id()), "places")
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(*ordering(name)))
+    return dealt.join(F.broadcast(offsets), "__part").select("id", place.alias("place"))
+
+
 def search(images: DataFrame, index: DataFrame, r: Request) -> DataFrame:
     """The results in order: by rank if there is a query and no order was asked for, else by the named order."""
     ranked = bool(r.query.strip()) and not r.sort

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkslide.functions.entries import tag_map
@@ -14,7 +14,7 @@ from darkslide.functions.text import find_all, highlighted, merged_ranges, metad
 from darkslide.operators import catalog, export, registry
 from darkslide.plans import index as inverted
 from darkslide.plans import match, tree
-from darkslide.plans.search import RESULT, Request, count, facets, filtered, hits, ordering, search
+from darkslide.plans.search import RESULT, Request, count, facets, filtered, hits, places, search
 from darkslide.sources.scan import BLACKLIST, blacklisted, is_dotfile, is_picture
 from darkslide.sources.tables import table
 
@@ -50,18 +50,9 @@ def _found(**wanted) -> Query:
     return lambda s, d: filtered(_images(s, d), Request(**wanted)).select(*RESULT)
 
 
-FIRST = 1000
-
-
 def _sorted(name: str) -> Query:
-    """The first thousand results in a named order, with their place: what a reader pages through."""
-
-    def run(s: SparkSession, d: str) -> DataFrame:
-        top = search(_images(s, d), _index(s, d), Request(sort=name, limit=FIRST))
-        place = F.row_number().over(Window.orderBy(*ordering(name)))
-        return top.select("id", place.alias("place"))
-
-    return run
+    """The place of every picture in a named order."""
+    return lambda s, d: places(_images(s, d), name)
 
 
 def _page(offset: int, limit: int, **wanted) -> Query:

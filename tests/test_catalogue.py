@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 
@@ -8,6 +9,7 @@ from darkslide.operators import catalog, export, registry
 from darkslide.operators.ingest import build_index
 from darkslide.plans.search import Request, count, facets
 from darkslide.plans.tree import folder_counts, folder_tree
+from darkslide.queries.catalogue import QUERIES
 from darkslide.sources.scan import BLACKLIST, blacklisted, is_picture
 from pyspark.sql import functions as F
 
@@ -241,3 +243,25 @@ def test_streamed_deliveries(spark, tmp_path):
     spark.createDataFrame([("/b", "b", 5.0, 5, "{}")], DELIVERY).write.parquet(inbox + "/y")
     keep_catalog(stream_deliveries(spark, inbox + "/*"), kept, empty, str(tmp_path / "cp")).awaitTermination()
     assert sorted((r["path"], r["size"]) for r in kept.read().collect()) == [("/a", 2), ("/b", 5)]
+
+
+def test_every_row_has_its_place(spark, tmp_path):
+    rng = random.Random(3)
+    n = 2500
+    rows = [
+        (i, f"/l/{rng.randrange(10**9)}/{i}", rng.choice(["a.jpg", "B.jpg", f"é{i % 7}"]), float(rng.randrange(5)),
+         rng.randrange(3) if i % 9 else None, "{}")
+        for i in range(n)
+    ]
+    spark.createDataFrame(rows, IMAGES).write.parquet(str(tmp_path / "images.parquet"))
+    low = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    orders = {
+        "filename_asc": (lambda r: low(r[2]), False), "filename_desc": (lambda r: low(r[2]), True),
+        "path_asc": (lambda r: low(r[1]), False), "path_desc": (lambda r: low(r[1]), True),
+        "date_asc": (lambda r: r[3], False), "date_desc": (lambda r: r[3], True),
+        "size_desc": (lambda r: -1 if r[4] is None else r[4], True),
+    }
+    for name, (key, down) in orders.items():
+        ordered = sorted(sorted(rows, key=lambda r: r[1]), key=key, reverse=down)
+        got = {r["id"]: r["place"] for r in QUERIES[f"q_sort_{name}"](spark, str(tmp_path)).collect()}
+        assert got == {r[0]: i + 1 for i, r in enumerate(ordered)}, name
