@@ -18,20 +18,21 @@ def folder_counts(images: DataFrame) -> DataFrame:
 
 def folder_tree(images: DataFrame) -> DataFrame:
     """(path, name, depth, n): every folder from the deepest common one down to those with pictures, with the pictures
-    that lie directly in it. Depth counts from the common folder, or from the shallowest where there is none.
+    that lie directly in it. Depth counts from the common folder, or from the roots where drives differ.
 
     The tree is built from the distinct folders, not from the pictures, so a folder that holds most pictures is one row
     by then; they are written once, as finding the deepest common folder reads them before the tree does. That folder is
     the longest prefix that all of them have."""
     counts = written(folder_counts(images), "folders")
-    # A folder that begins with a separator has an empty first part, which is no folder.
+    # A root is one part: /, a drive, or the server and share of \\server\share.
     parts = F.split(F.translate("folder", "\\", "/"), "/")
+    first = F.least(F.when(F.col("folder").startswith("\\\\"), 4).otherwise(1), F.size(parts))
+    steps = F.filter(F.sequence(first, F.size(parts)), lambda i: (i == first) | (F.get(parts, i - 1) != ""))
     prefixes = counts.where("folder <> ''").select(
-        "folder", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.length(
-            F.array_join(F.slice(parts, 1, i), "/")))).alias("level", "width")
-    ).where("width > 0").select(
-        F.substring("folder", F.lit(1), F.col("width")).alias("path"), (F.col("level") + 1).alias("level")
-    )
+        "folder", F.explode(F.transform(steps, lambda i: F.struct(
+            (i - first + 1).alias("level"),
+            F.greatest(F.length(F.array_join(F.slice(parts, 1, i), "/")), F.lit(1)).alias("width")))).alias("s")
+    ).select(F.substring("folder", F.lit(1), F.col("s.width")).alias("path"), F.col("s.level").alias("level"))
     nodes = prefixes.groupBy("path").agg(F.first("level").alias("level"), F.count("*").alias("below"))
     edges = nodes.agg(F.max("below").alias("m"), F.min("level").alias("least")).first()
     total = counts.where("folder <> ''").count()
@@ -42,7 +43,8 @@ def folder_tree(images: DataFrame) -> DataFrame:
         .join(counts.withColumnRenamed("folder", "path"), "path", "left")
         .select(
             "path",
-            F.substring_index(F.translate("path", "\\", "/"), "/", -1).alias("name"),
+            F.when(F.col("level") == 1, F.col("path"))
+            .otherwise(F.substring_index(F.translate("path", "\\", "/"), "/", -1)).alias("name"),
             (F.col("level") - base).cast("int").alias("depth"),
             F.coalesce("n", F.lit(0)).alias("n"),
         )

@@ -293,7 +293,7 @@ QUERIES: dict[str, Query] = {
     "q_facets_excluded": _facets(excluded=["/archive"]),
     "q_facets_ignore_ext": _facets(ext="png"),
     "q_folder_counts": lambda s, d: tree.folder_counts(_images(s, d)),
-    "q_tree": lambda s, d: tree.folder_tree(_images(s, d).where(F.col("path").startswith("/"))),
+    "q_tree": lambda s, d: tree.folder_tree(_images(s, d)),
     "q_distinct_keys": q_distinct_keys,
     "q_tags": q_tags,
     "q_tokens": q_tokens,

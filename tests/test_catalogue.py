@@ -1,6 +1,8 @@
 import json
 import os
 import random
+from collections import Counter
+from pathlib import PurePosixPath, PureWindowsPath
 
 import pytest
 
@@ -265,3 +267,32 @@ def test_every_row_has_its_place(spark, tmp_path):
         ordered = sorted(sorted(rows, key=lambda r: r[1]), key=key, reverse=down)
         got = {r["id"]: r["place"] for r in QUERIES[f"q_sort_{name}"](spark, str(tmp_path)).collect()}
         assert got == {r[0]: i + 1 for i, r in enumerate(ordered)}, name
+
+
+def tree_by_hand(paths):
+    """The tree as pathlib sees it, roots without the separator after them."""
+    kinds = [PurePosixPath(p) if p.startswith("/") else PureWindowsPath(p) for p in paths]
+    bare = lambda p: str(p).rstrip("\\") if isinstance(p, PureWindowsPath) else str(p)
+    counts = Counter(bare(p.parent) for p in kinds)
+    lines = {bare(p.parent): [p.parent, *p.parent.parents] for p in kinds}
+    shared = set.intersection(*({bare(a) for a in line} for line in lines.values()))
+    level = {bare(a): len(a.parts) for line in lines.values() for a in line}
+    base = max((level[f] for f in shared), default=min(level.values()))
+    names = {bare(a): a.name or bare(a) for line in lines.values() for a in line}
+    return sorted((f, names[f], n - base, counts[f]) for f, n in level.items() if n >= base)
+
+
+@pytest.mark.parametrize(
+    "paths",
+    [
+        ["/r/a/x/1.jpg", "/r/b/2.jpg", "/s/3.jpg", "D:\\a\\4.jpg", "D:\\a\\b\\5.jpg", "E:\\6.jpg", "\\\\nas\\pub\\q\\7.jpg"],
+        ["D:\\a\\b\\1.jpg", "D:\\a\\c\\d\\2.jpg", "D:\\a\\c\\d\\3.jpg"],
+        ["D:\\a\\1.jpg", "D:\\b\\2.jpg"],
+        ["\\\\nas\\pub\\q\\1.jpg", "\\\\nas\\pub\\2.jpg", "\\\\nas\\other\\r\\3.jpg"],
+        ["/a/1.jpg", "/b/c/2.jpg"],
+    ],
+)
+def test_tree_of_all_drives(spark, tmp_path, paths):
+    rows = [(i, p, p.replace("\\", "/").rsplit("/", 1)[-1], 0.0, 0, "{}") for i, p in enumerate(paths)]
+    spark.createDataFrame(rows, IMAGES).write.parquet(str(tmp_path / "images.parquet"))
+    assert sorted(map(tuple, QUERIES["q_tree"](spark, str(tmp_path)).collect())) == tree_by_hand(paths)
