@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,11 +72,20 @@ def find_all(text: Column, needle: str) -> Column:
     """Start positions, from 0, of all occurrences regardless of case, overlapping ones too."""
     if not needle:
         return F.array().cast("array<int>")
-    low, n = F.lower(text), len(needle)
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.transform(
-        F.filter(at, lambda i: F.substring(low, i, F.lit(n)) == needle.lower()), lambda i: (i - 1).cast("int")
-    )
+    low = needle.lower()
+
+    def starts(text: str | None) -> list[int]:
+        found, at = [], text.find(low) if text else -1
+        while at >= 0:
+            found.append(at)
+            at = text.find(low, at + 1)
+        return found
+
+    @F.arrow_udf("array<int>")
+    def kernel(texts: pa.Array) -> pa.Array:
+        return pa.array([starts(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+
+    return kernel(F.lower(text))
 
 
 def merged_ranges(starts: Column, length: int) -> Column:

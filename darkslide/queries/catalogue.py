@@ -204,16 +204,16 @@ def q_csv_wide(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_find_all(s: SparkSession, d: str) -> DataFrame:
-    return _index(s, d).select("id", F.explode(find_all(F.col("filename"), "0")).alias("start"))
+    return _index(s, d).select("id", F.explode(find_all(F.col("metadata_text"), "0")).alias("start"))
 
 
 def q_highlight_ranges(s: SparkSession, d: str) -> DataFrame:
-    starts = find_all(F.col("filename"), "00")
+    starts = find_all(F.col("metadata_text"), "00")
     return _index(s, d).select("id", F.inline(merged_ranges(starts, 2)))
 
 
 def q_highlight_html(s: SparkSession, d: str) -> DataFrame:
-    return _index(s, d).select("id", highlighted(F.col("filename"), "00").alias("html"))
+    return _index(s, d).select("id", highlighted(F.col("metadata_text"), "00").alias("html"))
 
 
 def _cached(s: SparkSession, d: str) -> DataFrame:

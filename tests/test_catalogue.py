@@ -1,6 +1,8 @@
+import html
 import json
 import os
 import random
+import re
 from collections import Counter
 from pathlib import PurePosixPath, PureWindowsPath
 
@@ -296,3 +298,20 @@ def test_tree_of_all_drives(spark, tmp_path, paths):
     rows = [(i, p, p.replace("\\", "/").rsplit("/", 1)[-1], 0.0, 0, "{}") for i, p in enumerate(paths)]
     spark.createDataFrame(rows, IMAGES).write.parquet(str(tmp_path / "images.parquet"))
     assert sorted(map(tuple, QUERIES["q_tree"](spark, str(tmp_path)).collect())) == tree_by_hand(paths)
+
+
+def test_find_and_highlight_read_the_whole_text(spark, tmp_path):
+    long = "x<00>" + "Ref 000 & 'é' " * 3000
+    texts = ["ISO 100", "", None, "none", 'a "0" b', long]
+    rows = [(i, "/p", "name", t) for i, t in enumerate(texts)]
+    index = "id bigint, path string, filename string, metadata_text string"
+    spark.createDataFrame(rows, index).write.parquet(str(tmp_path / "images_fts.parquet"))
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    every = [(i, at) for i, t in enumerate(texts) for at, c in enumerate(t or "") if c == "0"]
+    assert sorted(run("q_find_all")) == every
+    kept = [(i, m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer("00", t or "")]
+    assert sorted(run("q_highlight_ranges")) == kept
+    span = '<span style="background-color:#fff176">00</span>'
+    assert dict(run("q_highlight_html")) == {
+        i: None if t is None else html.escape(t).replace("00", span) for i, t in enumerate(texts)
+    }
