@@ -89,6 +89,7 @@ QUANTITIES = {
 QUANTILES = [i / 10 for i in range(1, 10)]
 LEAST_PAIRED = 30  # values a source needs before its quantiles say anything
 NEAR = 0.25  # furthest a scale may lie from a known conversion, in logarithms
+NEAR_OFFSET = 0.5  # furthest the middle value may be moved by it, in spreads between the outer quantiles
 
 
 def number(text: Column) -> Column:
@@ -141,17 +142,22 @@ def fit(a: list[float], b: list[float]) -> tuple[float, float] | None:
     return scale, left[len(left) // 2]
 
 
-def snap(dimension: str, bare: str, scale: float) -> tuple[str, float]:
-    """The unit whose conversion to the bare unit lies nearest to an estimated scale, and how far it lies."""
-    units = DIMENSIONS[dimension]
-    away = {u: abs(math.log(units[u][0] / units[bare][0]) - math.log(scale)) for u in units}
-    best = min(away, key=lambda u: (away[u], u))
-    return best, away[best]
+def snap(dimension: str, scale: float, offset: float, quantiles: list[float]) -> str | None:
+    """The unit whose conversion to the base unit lies nearest to an estimated line, or None if none is near. Scales are
+    compared in logarithms. Offsets are compared by how far the two conversions move the middle value apart, in spreads
+    of the converted values: where the line crosses zero says little about values far from there."""
+    middle, spread = quantiles[len(quantiles) // 2], scale * (quantiles[-1] - quantiles[0])
+    away = {}
+    for unit, (a, b) in DIMENSIONS[dimension].items():
+        by_scale, by_offset = abs(math.log(a / scale)), abs(a * middle + b - scale * middle - offset) / spread
+        if by_scale <= NEAR and by_offset <= NEAR_OFFSET:
+            away[unit] = by_scale + by_offset
+    return min(away, key=lambda u: (away[u], u)) if away else None
 
 
 def resolve(stats: list[tuple[str, str, int, list[float]]]) -> dict[tuple[str, str], str]:
     """The unit of each source (quantity, spelling): spellings that are known keep their unit, and every other source
-    gets the known conversion its estimated scale snaps to, propagated through the graph from the bare-number source.
+    gets the known conversion its estimated scale and offset snap to, propagated through the graph from the bare-number source.
 
     An edge joins two sources of a quantity with enough values, weighted by the smaller number; they are followed in
     order of weight from the sources resolved already, so an unknown spelling is judged by its best-supported
@@ -176,9 +182,10 @@ def resolve(stats: list[tuple[str, str, int, list[float]]]) -> dict[tuple[str, s
                 line = fit(nodes[a][1], nodes[b][1])
                 if line is None:
                     continue
-                units = DIMENSIONS[dimension]
-                unit, away = snap(dimension, bare, line[0] * units[out[quantity, b]][0] / units[bare][0])
-                if away <= NEAR:
+                known_scale, known_offset = DIMENSIONS[dimension][out[quantity, b]]
+                scale, offset = known_scale * line[0], known_scale * line[1] + known_offset
+                unit = snap(dimension, scale, offset, nodes[a][1])
+                if unit:
                     out[quantity, a], grown = unit, True
                     break
             if not grown:

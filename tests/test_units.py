@@ -77,3 +77,31 @@ def test_unknown_spelling_in_data(spark):
     rows += [("FocalLength", f"{x / 10} Zenti", None, None) for x in range(20, 620, 3)]
     got = harmonise(spark.createDataFrame(rows, COLUMNS)).where("value = '50.0 Zenti'").first()
     assert got["amount"] == 5000
+
+
+def quantiles(to_unit, shift=0.0):
+    return [to_unit(c + shift) for c in (-12.0, -5.0, 0.0, 5.0, 11.0, 16.0, 21.0, 27.0, 34.0)]
+
+
+TO = {"c": lambda c: c, "k": lambda c: c + 273.15, "f": lambda c: 1.8 * c + 32}
+
+
+@pytest.mark.parametrize("known", ["", "k", "f"])
+@pytest.mark.parametrize(("spelling", "unit"), [("degk", "k"), ("kelvins", "k"), ("degc", "c"), ("degf", "f")])
+def test_unlisted_temperatures_snap_by_scale_and_offset(known, spelling, unit):
+    name = "CameraTemperature"
+    stats = [(name, known, 500, quantiles(TO[known or "c"])), (name, spelling, 400, quantiles(TO[unit], 0.8))]
+    assert resolve(stats)[name, spelling] == unit
+
+
+def test_a_known_scale_with_another_offset_stays_unresolved():
+    name = "CameraTemperature"
+    stats = [(name, "", 500, quantiles(TO["c"])), (name, "°ra", 400, quantiles(lambda c: 1.8 * (c + 273.15)))]
+    assert (name, "°ra") not in resolve(stats)
+
+
+def test_unlisted_kelvin_amounts(spark):
+    rows = [("CameraTemperature", f"{n / 2 - 10}", None, None) for n in range(80)]
+    rows += [("CameraTemperature", f"{n / 2 - 10 + 273.15:.2f} kelvins", None, None) for n in range(80)]
+    got = [r["amount"] for r in harmonise(spark.createDataFrame(rows, COLUMNS)).collect()]
+    assert sorted(got) == sorted([5 * n - 100 for n in range(80)] * 2)
