@@ -257,7 +257,10 @@ def test_every_row_has_its_place(spark, tmp_path):
          rng.randrange(3) if i % 9 else None, "{}")
         for i in range(n)
     ]
-    spark.createDataFrame(rows, IMAGES).write.parquet(str(tmp_path / "images.parquet"))
+    images = spark.createDataFrame(rows, IMAGES)
+    images.write.parquet(str(tmp_path / "images.parquet"))
+    index = images.selectExpr("id", "path", "filename", "metadata_json as metadata_text")
+    index.write.parquet(str(tmp_path / "images_fts.parquet"))
     low = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
     orders = {
         "filename_asc": (lambda r: low(r[2]), False), "filename_desc": (lambda r: low(r[2]), True),
