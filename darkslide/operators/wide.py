@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkslide.sources.tables import written
+from darkslide.sources.tables import copartitioned
 
 INTEGER = r"^[+-]?[0-9]+([.]0*)?$"
 DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 FRACTION = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)\s*/\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
 DAY = r"^([0-9]{4})([:-])([0-9]{1,2})\2([0-9]{1,2})(?:[ T].*)?$"
 BLANKS = r"^[\s\u00a0\u3000]+|[\s\u00a0\u3000]+$"
-FAN = 4
+FAN = 8
 TYPES = ("bigint", "double", "boolean", "date", "string")
 
 
@@ -72,16 +72,16 @@ def widen(
     """One row per entity: for every column of `tag_types` its typed value, and `<column>__unreadable`, true where the
     value in force cannot be read as the column's type, false where it can, null where there is none.
 
-    The rows in force are written to the shared folder once, partitioned by attribute; each partition is a narrow table
-    that is typed as it is read and exchanged by entity. A balanced tree of outer joins from the entities to the narrow
-    tables combines them. An entity without any value in force gives no row.
+    The rows in force are written to the shared folder once, partitioned by attribute and, within each, by entity; each
+    partition is a narrow table that is typed as it is read. A balanced tree of outer joins from the entities to the narrow
+    tables combines them, without another exchange. An entity without any value in force gives no row.
 
     `tag_types` is the registry of columns: it becomes the schema of the result, so it is read by the driver."""
     declared = tag_types.groupBy("column_name").agg(F.min("value_type").alias("value_type")).collect()
     columns = sorted((r["column_name"], r["value_type"]) for r in declared if r["column_name"] is not None)
     rows = in_force(df, tag_types, entity, tag, value, recorded)
-    kept = written(rows, "narrow", "__column")
-    spine = written(kept.select("__entity").distinct(), "entities")
+    kept = copartitioned(rows, "narrow", "__entity", "__column")
+    spine = kept.select("__entity").distinct()
 
     def narrow(name: str, kind: str) -> DataFrame:
         return kept.where(F.col("__column") == name).select(
@@ -96,13 +96,13 @@ def widen(
 
 def outer_join_all(spine: DataFrame, tables: list[DataFrame], fan: int = FAN) -> DataFrame:
     """The entities of `spine` with the columns of all `tables`, each with one row per entity: a balanced tree of outer
-    joins. A node joins at most `fan` tables and is written, so that a task never holds more sorters than that,
-    however many columns there are."""
+    joins over tables that lie by entity already. A node joins at most `fan` tables and is written where it lies, so that
+    a task never holds more sorters than that, however many columns there are."""
     while len(tables) > fan:
         nodes = -(-len(tables) // fan)
         size = -(-len(tables) // nodes)
         parts = [tables[i : i + size] for i in range(0, len(tables), size)]
-        tables = [written(outer_join_all(spine, part), "node") for part in parts]
+        tables = [copartitioned(outer_join_all(spine, part), "node", "__entity", exchange=False) for part in parts]
     for t in tables:
         spine = spine.join(t, "__entity", "left")
     return spine

@@ -69,5 +69,19 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def copartitioned(df: DataFrame, label: str, key: str, *partition_by: str, exchange: bool = True) -> DataFrame:
+    """`df` written to the shared folder in buckets of `key`, sorted by it: tables written so are joined by the key
+    without being exchanged. Rows that don't lie by the key yet are exchanged once before that, so that a bucket is one
+    file. The session's catalogue gets an entry for it, which only names the folder."""
+    spark = df.sparkSession
+    path, n = shared_path(spark, label), shuffle_partitions(spark)
+    name = os.path.basename(path).replace("-", "_")
+    writer = (df.repartition(n, key) if exchange else df).write.format("parquet").option("path", path)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
