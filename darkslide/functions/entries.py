@@ -24,10 +24,16 @@ def _named(name: str) -> Callable[[Column], Column]:
 
 
 def entries(
-    df: DataFrame, names: list[str], keep: list[str], siblings: list[str] | None = None, json_col: str = "metadata_json"
+    df: DataFrame,
+    names: list[str],
+    keep: list[str],
+    siblings: list[str] | None = None,
+    json_col: str = "metadata_json",
+    repeated: str | None = None,
 ) -> DataFrame:
     """One row per entry whose bare name is in `names`: the columns `keep`, then tag, name and value, and for each of
-    `siblings` the value of the first entry of the same object with that bare name, or null.
+    `siblings` the value of the first entry of the same object with that bare name, or null; and, if `repeated` names a
+    column, whether some bare name has several entries in the object.
 
     Rows whose value is null give no entry. A cheap substring test keeps rows without any of the names from being
     parsed at all, and siblings are looked up once for an object, before its entries become rows."""
@@ -40,10 +46,14 @@ def entries(
         F.get(F.filter("__all", _named(n)), F.lit(0))["value"].alias(n)
         for n in siblings or []
     ]
+    if repeated:
+        several = F.array_distinct(F.transform(wanted, lambda e: tag_name(e["key"])))
+        found.append((F.size(wanted) > F.size(several)).alias(repeated))
     return parsed.select(*keep, *found, F.explode(wanted).alias("__e")).select(
         *keep,
         F.col("__e.key").alias("tag"),
         tag_name(F.col("__e.key")).alias("name"),
         F.col("__e.value").alias("value"),
         *(siblings or []),
+        *([repeated] if repeated else []),
     )

@@ -1,14 +1,16 @@
 """The same quantity recorded in different units and scales, converted to one unit per quantity.
 
 A source is one way of writing a quantity: the quantity and the unit text as spelled, or the unit implied for bare
-numbers. Sources are linked through the values they share: the same quantity measured on the same population gives the
-same quantiles, whatever unit it is written in, so quantile by quantile two sources form pairs of one entity. From the
-pairs come a robust scale and offset, which snap to known conversions; conversions propagate from the bare-number
-source of a quantity through the graph of sources."""
+numbers. Sources are linked through the entities that are written in both: the quantiles of their values over those
+entities are pairs of one value each, from which come a robust scale and offset. Where no entities are shared, the
+quantiles of all values of two sources stand in for them: the same quantity measured on the same population has the same
+quantiles in any unit. The estimates snap to known conversions and propagate from the bare-number source of a quantity
+through the graph of sources. How a unit is spelled is a prior that weak evidence can't overrule."""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +92,11 @@ QUANTILES = [i / 10 for i in range(1, 10)]
 LEAST_PAIRED = 30  # values a source needs before its quantiles say anything
 NEAR = 0.25  # furthest a scale may lie from a known conversion, in logarithms
 NEAR_OFFSET = 0.5  # furthest the middle value may be moved by it, in spreads between the outer quantiles
+NOISE = 1.5  # a scale estimated from n values is unsure by this over the root of n, in logarithms
+PRIOR = 6.0  # nats by which a spelling speaks for its unit
+WEAK, STRONG = 4.0, 12.0  # nats that a distance weighs at most, estimated from populations and from shared entities
+TIE = 0.7  # nats by which a unit must lead
+RARE, SELDOM = {"yd", "mi", "h"}, 2.0  # units that are seldom used for these quantities, and nats against them
 
 
 def number(text: Column) -> Column:
@@ -142,57 +149,101 @@ def fit(a: list[float], b: list[float]) -> tuple[float, float] | None:
     return scale, left[len(left) // 2]
 
 
-def snap(dimension: str, scale: float, offset: float, quantiles: list[float]) -> str | None:
-    """The unit whose conversion to the base unit lies nearest to an estimated line, or None if none is near. Scales are
-    compared in logarithms. Offsets are compared by how far the two conversions move the middle value apart, in spreads
-    of the converted values: where the line crosses zero says little about values far from there."""
+@dataclass
+class Verdict:
+    """The unit of a source, the scale and offset to the base unit that were estimated (None where nothing was), from how
+    many values, and what decided: bare number, spelling, estimate, both, or estimate against spelling."""
+
+    unit: str | None
+    scale: float | None = None
+    offset: float | None = None
+    n: int = 0
+    by: str = ""
+
+
+def distances(dimension: str, scale: float, offset: float, quantiles: list[float], n: int) -> dict[str, float]:
+    """For each unit whose conversion lies near an estimated line, how unlikely the distance is, in nats. Scales are
+    compared in logarithms, in units of what n values leave uncertain. Offsets are compared by how far the two conversions
+    move the middle value apart, in spreads of the converted values: where the line crosses zero says little about values
+    far from there."""
     middle, spread = quantiles[len(quantiles) // 2], scale * (quantiles[-1] - quantiles[0])
-    away = {}
+    unsure = NOISE / math.sqrt(n)
+    out = {}
     for unit, (a, b) in DIMENSIONS[dimension].items():
         by_scale, by_offset = abs(math.log(a / scale)), abs(a * middle + b - scale * middle - offset) / spread
         if by_scale <= NEAR and by_offset <= NEAR_OFFSET:
-            away[unit] = by_scale + by_offset
-    return min(away, key=lambda u: (away[u], u)) if away else None
+            out[unit] = ((by_scale / unsure) ** 2 + (by_offset / unsure) ** 2) / 2 + (SELDOM if unit in RARE else 0.0)
+    return out
+
+
+def snap(found: dict[str, float], spelled: str | None, most: float) -> str | None:
+    """The unit with the least distance, or None if none is near or two are about as near. The spelled unit starts with
+    an advantage, and no distance weighs more than `most`."""
+    away = {u: min(d, most) - (PRIOR if u == spelled else 0.0) for u, d in found.items()}
+    if spelled:
+        away.setdefault(spelled, most - PRIOR)
+    ranked = sorted(away, key=lambda u: (away[u], u))
+    if not ranked or len(ranked) > 1 and away[ranked[1]] - away[ranked[0]] < TIE:
+        return None
+    return ranked[0]
 
 
-def resolve(stats: list[tuple[str, str, int, list[float]]]) -> dict[tuple[str, str], str]:
-    """The unit of each source (quantity, spelling): spellings that are known keep their unit, and every other source
-    gets the known conversion its estimated scale and offset snap to, propagated through the graph from the bare-number source.
+def judge(
+    stats: list[tuple[str, str, int, list[float]]],
+    links: list[tuple[str, str, str, int, list[float], list[float]]] = (),
+) -> dict[tuple[str, str], Verdict]:
+    """The verdict on each source (quantity, spelling), from (quantity, source, values, quantiles) of all sources and
+    (quantity, source, other, entities, quantiles of source, quantiles of other) of those that share entities.
 
-    An edge joins two sources of a quantity with enough values, weighted by the smaller number; they are followed in
-    order of weight from the sources resolved already, so an unknown spelling is judged by its best-supported
-    neighbour. A source that nothing near a known conversion explains stays unresolved."""
-    out: dict[tuple[str, str], str] = {}
-    spelled = {d: {w: u for u, ws in units.items() for w in ws} for d, units in SPELLINGS.items()}
+    The sources of a quantity are a graph. Starting from the bare-number source, whose unit is given, or else from the most
+    common spelling that is known, the best-supported edge to a source without a verdict is followed: edges of shared
+    entities before those of populations, each by its smaller number of values. The line along the edge is put before the
+    known conversion of the source it comes from, so that errors don't add up. A source with too few values has only its
+    spelling, and one that neither spelling nor estimate explains stays unresolved."""
+    out: dict[tuple[str, str], Verdict] = {}
     for quantity, (dimension, bare, _) in QUANTITIES.items():
+        spelled = {w: u for u, ws in SPELLINGS[dimension].items() for w in ws}
         nodes = {unit: (n, q) for name, unit, n, q in stats if name == quantity}
-        for unit in nodes:
-            known = bare if unit == "" else spelled[dimension].get(unit)
-            if known:
-                out[quantity, unit] = known
+        known = {u: spelled[u] for u in nodes if u in spelled}
+        enough = {u for u in nodes if nodes[u][0] >= LEAST_PAIRED}
+        start = "" if "" in nodes else max(known, key=lambda u: (nodes[u][0], u), default=None)
+        if start is None:
+            continue
+        out[quantity, start] = Verdict(bare if start == "" else known[start], n=nodes[start][0], by="bare number" if start == "" else "spelling")
+        edges = [(True, n, a, b, qa, qb) for name, a, b, n, qa, qb in links if name == quantity and n >= LEAST_PAIRED]
+        edges += [(True, n, b, a, qb, qa) for _, n, a, b, qa, qb in list(edges)]
+        edges += [
+            (False, min(nodes[a][0], nodes[b][0]), a, b, nodes[a][1], nodes[b][1])
+            for a in enough for b in enough if a != b
+        ]
+        edges.sort(key=lambda e: (e[0], e[1], e[2], e[3]), reverse=True)
         while True:
-            edges = [
-                (min(nodes[a][0], nodes[b][0]), a, b)
-                for a in nodes
-                for b in nodes
-                if (quantity, a) not in out and (quantity, b) in out and min(nodes[a][0], nodes[b][0]) >= LEAST_PAIRED
-            ]
-            grown = False
-            for _, a, b in sorted(edges, reverse=True):
-                line = fit(nodes[a][1], nodes[b][1])
-                if line is None:
-                    continue
-                known_scale, known_offset = DIMENSIONS[dimension][out[quantity, b]]
-                scale, offset = known_scale * line[0], known_scale * line[1] + known_offset
-                unit = snap(dimension, scale, offset, nodes[a][1])
-                if unit:
-                    out[quantity, a], grown = unit, True
-                    break
-            if not grown:
+            open_ = [e for e in edges if (quantity, e[2]) not in out and (quantity, e[3]) in out and out[quantity, e[3]].unit]
+            if not open_:
                 break
+            shared, n, a, b, qa, qb = open_[0]
+            line = fit(qa, qb)
+            if line is None:
+                edges.remove(open_[0])
+                continue
+            known_scale, known_offset = DIMENSIONS[dimension][out[quantity, b].unit]
+            scale, offset = known_scale * line[0], known_scale * line[1] + known_offset
+            found = distances(dimension, scale, offset, qa, n)
+            unit = snap(found, known.get(a), STRONG if shared else WEAK)
+            by = "estimate" if a not in known else "both" if unit in found and unit == known[a] else "spelling"
+            if unit and a in known and unit != known[a]:
+                by = "estimate against spelling"
+            out[quantity, a] = Verdict(unit, scale, offset, n, by if unit else "")
+        for unit in known:
+            out.setdefault((quantity, unit), Verdict(known[unit], n=nodes[unit][0], by="spelling"))
     return out
 
 
+def resolve(stats: list, links: list = ()) -> dict[tuple[str, str], str]:
+    """The unit of each source that has one."""
+    return {k: v.unit for k, v in judge(stats, links).items() if v.unit}
+
+
 def source_statistics(values: DataFrame) -> list[tuple[str, str, int, list[float]]]:
     """(quantity, unit, count, quantiles) of every source: one small row for each spelling, however many values."""
     rows = (
@@ -203,11 +254,52 @@ def source_statistics(values: DataFrame) -> list[tuple[str, str, int, list[float
     return [(r["quantity"], r["source"], r["n"], list(r["q"])) for r in rows]
 
 
+def shared_entities(values: DataFrame) -> list[tuple[str, str, str, int, list[float], list[float]]]:
+    """(quantity, source, other, entities, quantiles of source, quantiles of other) of each two sources of a quantity in
+    which the same entities are written. An entity counts with its least value in each source. It is paired from its
+    first source to each other one, so its rows grow with its sources; a hot entity is one row per source by then."""
+    one = values.where("entity is not null").groupBy("entity", "quantity", "source").agg(F.min("x").alias("x"))
+    by_entity = one.groupBy("entity", "quantity").agg(F.min(F.struct("source", "x")).alias("first"))
+    pairs = one.join(by_entity, ["entity", "quantity"]).where(F.col("source") != F.col("first.source"))
+    rows = (
+        pairs.groupBy("quantity", F.col("first.source").alias("a"), F.col("source").alias("b"))
+        .agg(
+            F.count("*").alias("n"),
+            F.percentile_approx("first.x", QUANTILES, 1000).alias("qa"),
+            F.percentile_approx("x", QUANTILES, 1000).alias("qb"),
+        )
+        .collect()
+    )
+    return [(r["quantity"], r["a"], r["b"], r["n"], list(r["qa"]), list(r["qb"])) for r in rows]
+
+
+def _parsed(df: DataFrame) -> DataFrame:
+    """The values of `df` with x and source, kept in the shared folder."""
+    entity = F.col("entity").cast("string") if "entity" in df.columns else F.lit(None).cast("string")
+    df = df.select(F.struct("*").alias("__in"), "quantity", "value", "bare_unit", "reference", entity.alias("entity"))
+    bare = F.lower(F.trim("bare_unit"))
+    density = F.col("quantity") == "XResolution"
+    implied = F.when(density & (F.col("unit") == ""), F.coalesce(bare, F.lit(""))).otherwise(F.col("unit"))
+    values = measured(df.where(F.col("quantity").isin(list(QUANTITIES)))).withColumn("source", implied)
+    return written(values.drop("value"), "values")
+
+
+def judged_sources(df: DataFrame) -> DataFrame:
+    """(quantity, source, n, unit, scale, offset, decided_by): the verdict on every way of writing a quantity, with the
+    scale and offset to the base unit of its dimension that were estimated from n values."""
+    values = _parsed(df)
+    verdicts = judge(source_statistics(values), shared_entities(values))
+    rows = [(q, s, v.n, v.unit, v.scale, v.offset, v.by) for (q, s), v in sorted(verdicts.items())]
+    kind = "quantity string, source string, n bigint, unit string, scale double, offset double, decided_by string"
+    return df.sparkSession.createDataFrame(rows, kind)
+
+
 def harmonise(df: DataFrame) -> DataFrame:
     """`df` plus amount, in the unit common to its quantity, for each row whose value holds a number.
 
     Columns used: quantity (a key of QUANTITIES), value, bare_unit (what says the unit of a bare number where the
-    quantity allows it, or null) and reference (1 or Below Sea Level for a height below zero). Values without number,
+    quantity allows it, or null), reference (1 or Below Sea Level for a height below zero) and, if there is one, entity
+    (rows of one entity and quantity say the same; null says nothing). Values without number,
     with a zero denominator, of an unknown quantity or in a unit that stays unresolved give no row; so do nulls.
     Amounts are rounded to the nearest whole number, halves away from zero. A column of `df` named amount is replaced;
     other columns stay, whatever their names.
@@ -215,13 +307,8 @@ def harmonise(df: DataFrame) -> DataFrame:
     Values are parsed once and kept in the shared folder. The statistics are one pass with partial aggregation; the driver gets one row for each quantity and spelling, and
     conversions come back as a literal map, so the second pass is a projection without any shuffle."""
     given = df
-    df = given.select(F.struct("*").alias("__in"), "quantity", "value", "bare_unit", "reference")
-    bare = F.lower(F.trim("bare_unit"))
-    density = F.col("quantity") == "XResolution"
-    implied = F.when(density & (F.col("unit") == ""), F.coalesce(bare, F.lit(""))).otherwise(F.col("unit"))
-    values = measured(df.where(F.col("quantity").isin(list(QUANTITIES)))).withColumn("source", implied)
-    values = written(values.drop("value"), "values")
-    units = resolve(source_statistics(values))
+    values = _parsed(df)
+    units = resolve(source_statistics(values), shared_entities(values))
     if not units:
         return given.withColumn("amount", F.lit(None).cast("bigint")).limit(0)
     scale, offset = [], []

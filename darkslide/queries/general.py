@@ -10,7 +10,7 @@ from darkslide.functions.paths import with_longest_folder
 from darkslide.operators.lists import explode_lists
 from darkslide.operators.snapshots import snapshot_changes
 from darkslide.operators.timestamps import normalise_times
-from darkslide.operators.units import harmonise
+from darkslide.operators.units import harmonise, judged_sources
 from darkslide.operators.wide import unreadable, widen
 from darkslide.sources.tables import spread, table, union
 
@@ -79,18 +79,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_lists(packed)
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each quantity of the images in the unit common to its kind."""
+def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantities of the images. The entity is the picture, where several of its entries say the same quantity."""
     images = spread(table(spark, sf_dir, "images").select("id", "metadata_json"), "id")
-    measured = entries(images, QUANTITY_NAMES, ["id"], ["ResolutionUnit", "GPSAltitudeRef"]).select(
+    measured = entries(images, QUANTITY_NAMES, ["id"], ["ResolutionUnit", "GPSAltitudeRef"], repeated="several")
+    return measured.select(
         "id",
         "tag",
         F.col("name").alias("quantity"),
         "value",
         F.col("ResolutionUnit").alias("bare_unit"),
         F.col("GPSAltitudeRef").alias("reference"),
+        F.when(F.col("several"), F.col("id")).alias("entity"),
     )
-    return harmonise(measured).select("id", "tag", "amount")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each quantity of the images in the unit common to its kind."""
+    return harmonise(_quantities(spark, sf_dir)).select("id", "tag", "amount")
+
+
+def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every way of writing a quantity, with its unit, the scale and offset that were estimated, and what decided."""
+    return judged_sources(_quantities(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +132,7 @@ QUERIES = {
     "p1_times": p1_times,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p4_sources": p4_sources,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_wide": p6_wide,

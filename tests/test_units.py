@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
-from darkslide.operators.units import fit, harmonise, resolve
+from darkslide.operators import units
+from darkslide.operators.units import DIMENSIONS, fit, harmonise, judge, resolve
 
 COLUMNS = "quantity string, value string, bare_unit string, reference string"
 CASES = [
@@ -67,9 +70,9 @@ def test_unknown_spelling_snaps_to_a_known_conversion():
         ("FocalLength", "odd", 500, [q * 50 for q in quantiles]),
         ("FocalLength", "rare", 3, [q / 10 for q in quantiles]),
     ]
-    units = resolve(stats)
-    assert units["FocalLength", ""] == "mm" and units["FocalLength", "zolls"] == "in"
-    assert ("FocalLength", "odd") not in units and ("FocalLength", "rare") not in units
+    found = resolve(stats)
+    assert found["FocalLength", ""] == "mm" and found["FocalLength", "zolls"] == "in"
+    assert ("FocalLength", "odd") not in found and ("FocalLength", "rare") not in found
 
 
 def test_unknown_spelling_in_data(spark):
@@ -105,3 +108,59 @@ def test_unlisted_kelvin_amounts(spark):
     rows += [("CameraTemperature", f"{n / 2 - 10 + 273.15:.2f} kelvins", None, None) for n in range(80)]
     got = [r["amount"] for r in harmonise(spark.createDataFrame(rows, COLUMNS)).collect()]
     assert sorted(got) == sorted([5 * n - 100 for n in range(80)] * 2)
+
+
+def drawn(seed, n, spellings):
+    """Values of one population for each (quantity, spelling, unit), written in that unit."""
+    rng = random.Random(seed)
+    base = {"FocalLength": lambda: rng.uniform(0.01, 0.6), "GPSAltitude": lambda: rng.uniform(-100, 4000),
+            "CameraTemperature": lambda: rng.uniform(-15, 50), "FileSize": lambda: rng.uniform(1e6, 6e7)}
+    rows, want = [], {}
+    for quantity, spelling, unit in spellings:
+        scale, offset = DIMENSIONS[units.QUANTITIES[quantity][0]][unit]
+        per = units.QUANTITIES[quantity][2]
+        for _ in range(n):
+            truth = base[quantity]()
+            rows.append((len(rows), quantity, f"{(truth - offset) / scale:.9f} {spelling}".strip(), None, None))
+            want[len(rows) - 1] = truth * per
+    return rows, want
+
+
+def test_without_any_spelling_nearly_all_amounts_are_the_same(spark, monkeypatch):
+    spellings = [("FocalLength", "", "mm"), ("FocalLength", "cm", "cm"), ("FocalLength", "inches", "in"), ("FocalLength", "m", "m"),
+                 ("FocalLength", "um", "um"), ("GPSAltitude", "", "m"), ("GPSAltitude", "feet", "ft"), ("GPSAltitude", "km", "km"),
+                 ("CameraTemperature", "", "c"), ("CameraTemperature", "k", "k"), ("CameraTemperature", "f", "f"),
+                 ("FileSize", "", "b"), ("FileSize", "mb", "mb"), ("FileSize", "gb", "gb"), ("FileSize", "mib", "mib")]
+    rows, want = drawn(3, 4000, spellings)
+    df = spark.createDataFrame(rows, "n int, " + COLUMNS)
+    monkeypatch.setattr(units, "SPELLINGS", {d: {u: [] for u in known} for d, known in units.SPELLINGS.items()})
+    got = {r["n"]: r["amount"] for r in harmonise(df).collect()}
+    right = sum(abs(got.get(n, 1e18) - x) <= 1 + 1e-3 * abs(x) for n, x in want.items())
+    assert right >= 0.99 * len(want), right / len(want)
+
+
+def test_shared_entities_overrule_a_wrong_spelling(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(200):
+        mm = rng.uniform(10, 600)
+        rows += [(i, "FocalLength", f"{mm:.2f}", None, None, f"e{i}"), (i, "FocalLength", f"{mm / 10:.3f} m", None, None, f"e{i}")]
+    rows += [(1000, "FocalLength", "5 m", None, None, None), (1001, None, "5 m", None, None, "e1"), (1002, "FocalLength", None, None, None, "e1")]
+    df = spark.createDataFrame(rows, "n int, " + COLUMNS + ", entity string")
+    amounts = {r["n"]: r["amount"] for r in harmonise(df).collect()}
+    assert amounts[1000] == 500
+    verdict = {(r["quantity"], r["source"]): r for r in units.judged_sources(df).collect()}["FocalLength", "m"]
+    assert verdict["unit"] == "cm" and verdict["decided_by"] == "estimate against spelling" and verdict["n"] == 200
+
+
+def test_populations_alone_do_not_overrule_a_spelling():
+    q = [float(x) for x in range(10, 100, 10)]
+    stats = [("ExposureTime", "", 5000, q), ("ExposureTime", "ms", 900, [x * 10 for x in q]), ("ExposureTime", "tick", 900, [x * 31 for x in q])]
+    verdicts = judge(stats)
+    assert verdicts["ExposureTime", "ms"].unit == "ms" and verdicts["ExposureTime", "ms"].by == "spelling"
+    assert verdicts["ExposureTime", "tick"].unit is None
+
+
+def test_two_units_that_are_as_near_leave_a_source_unresolved():
+    q = [1e6 * x for x in range(5, 50, 5)]
+    assert ("FileSize", "units") not in resolve([("FileSize", "", 400, q), ("FileSize", "units", 400, [x / 1012 for x in q])])
