@@ -57,10 +57,27 @@ def fold_query(text: str) -> list[str]:
     return regex.findall(TOKEN, plain)
 
 
+def json_object(metadata: Column) -> Column:
+    """A map as one JSON object with a blank after each comma and colon, in the order of the map; null values are null."""
+
+    def quoted(c: Column) -> Column:
+        text = F.to_json(F.array(c))
+        return F.when(c.isNull(), "null").otherwise(F.substring(text, F.lit(2), F.length(text) - 2))
+
+    pairs = F.transform(F.map_entries(metadata), lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
+def pretty_json(metadata: Column) -> Column:
+    """A map as JSON, one entry a line, indented by two."""
+    body = F.regexp_replace(F.to_json(metadata, {"pretty": "true"}), '" : ', '": ')
+    return F.when(F.size(metadata) == 0, "{}").otherwise(body)
+
+
 def metadata_text(metadata: Column) -> Column:
     """What is indexed of a map: keys and values in order, then the map as JSON."""
     words = F.flatten(F.transform(F.map_entries(metadata), lambda e: F.array(e["key"], e["value"])))
-    return F.concat_ws(" ", F.concat_ws(" ", words), F.to_json(metadata))
+    return F.concat_ws(" ", F.concat_ws(" ", words), json_object(metadata))
 
 
 def extension(filename: Column) -> Column:
@@ -88,6 +105,12 @@ def find_all(text: Column, needle: str) -> Column:
     return kernel(F.lower(text))
 
 
+def step(positions: list[int], at: int, forward: bool = True) -> int:
+    """Which hit is shown after hit number `at`, going round at either end; -1 without any hit. A new search starts
+    forward from -1 and backward from the number of hits."""
+    return (at + (1 if forward else -1)) % len(positions) if positions else -1
+
+
 def merged_ranges(starts: Column, length: int) -> Column:
     """(start, end) of the occurrences that don't begin inside the one kept before them."""
     empty = F.array().cast("array<struct<start:int,end:int>>")

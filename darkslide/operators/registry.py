@@ -51,6 +51,24 @@ def next_in_queue(queue: list[tuple[int, bool]], request: tuple[int, bool]) -> l
     return queue if request in queue else [*queue, request]
 
 
+def everything(registry: DataFrame) -> DataFrame:
+    return registry.select(*COLUMNS).orderBy("path")
+
+
+def by_id(registry: DataFrame, number: int) -> DataFrame:
+    """The folder with that number, or no row."""
+    return registry.select(*COLUMNS).where(F.col("id") == number)
+
+
+def exists(registry: DataFrame, path: str) -> bool:
+    """Whether a path is registered, once it is normalised."""
+    return registry.where(F.col("path") == posixpath.normpath(path)).limit(1).count() > 0
+
+
+def cleared(registry: DataFrame) -> DataFrame:
+    return registry.limit(0)
+
+
 def enabled(registry: DataFrame) -> DataFrame:
     return registry.where("enabled").orderBy("path")
 

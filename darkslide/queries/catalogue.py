@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkslide.functions.entries import tag_map
-from darkslide.functions.text import find_all, highlighted, merged_ranges, metadata_text, tokens
+from darkslide.functions.text import find_all, highlighted, json_object, merged_ranges, metadata_text, tokens
 from darkslide.operators import catalog, export, registry
 from darkslide.plans import index as inverted
 from darkslide.plans import match, tree
@@ -105,9 +105,8 @@ def q_tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_metadata_text(s: SparkSession, d: str) -> DataFrame:
-    """The number of tokens of the text that is indexed of each picture."""
-    text = metadata_text(tag_map(F.col("metadata_json")))
-    return _images(s, d).select("id", F.size(tokens(text)).alias("n_tokens"))
+    """The text that is indexed of each picture."""
+    return _images(s, d).select("id", metadata_text(tag_map(F.col("metadata_json"))).alias("text"))
 
 
 def q_upsert(s: SparkSession, d: str) -> DataFrame:
@@ -192,17 +191,29 @@ def q_scan_dotfiles(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_json_export(s: SparkSession, d: str) -> DataFrame:
-    """The exported object of each picture, as its size in entries."""
-    return export.json_rows(_images(s, d)).select("path", "filename", "mtime", "size",
-                                                  F.size("metadata").alias("entries"))
+    """The exported object of each picture, its metadata as JSON."""
+    rows = export.json_rows(_images(s, d))
+    return rows.select("path", "filename", "mtime", "size", json_object(F.col("metadata")).alias("metadata"))
 
 
 def q_csv_wide(s: SparkSession, d: str) -> DataFrame:
+    """All cells of the wide table, as a digest of the names and values of its columns in order."""
     wide = export.wide_csv(_images(s, d))
-    return wide.select("path", "filename", F.col("`IFD0:Make`").alias("make"), F.col("`IPTC:City`").alias("city"),
+    cells = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in wide.columns[2:]]
+    return wide.select("path", "filename", F.md5(F.concat_ws("\n", *cells)).alias("cells"),
                        F.lit(len(wide.columns)).alias("columns"))
 
 
+def q_csv_query(s: SparkSession, d: str) -> DataFrame:
+    """The wide table of what a query finds, with its columns only, in the order of its results."""
+    wide = export.wide_csv(search(_images(s, d), _index(s, d), Request("harbour AND market")))
+    return wide.select("path", F.lit(len(wide.columns)).alias("columns"))
+
+
+def q_tag_table(s: SparkSession, d: str) -> DataFrame:
+    return export.tag_table(_images(s, d), 1)
+
+
 def q_find_all(s: SparkSession, d: str) -> DataFrame:
     return _index(s, d).select("id", F.explode(find_all(F.col("metadata_text"), "0")).alias("start"))
 
@@ -226,6 +237,18 @@ def q_cache_names(s: SparkSession, d: str) -> DataFrame:
     return export.cache_names(_images(s, d).select("path", "mtime", "size")).select("path", "cache_name")
 
 
+def q_thumb_counters(s: SparkSession, d: str) -> DataFrame:
+    return export.thumbnail_counters(_images(s, d), _cached(s, d), ["/library"])
+
+
+def q_registry_all(s: SparkSession, d: str) -> DataFrame:
+    return registry.everything(table(s, d, "indexed_folders"))
+
+
+def q_registry_by_id(s: SparkSession, d: str) -> DataFrame:
+    return registry.by_id(table(s, d, "indexed_folders"), 5)
+
+
 def q_thumb_worklist(s: SparkSession, d: str) -> DataFrame:
     rows = _images(s, d).select("id", "path", "mtime", "size")
     return export.thumbnail_worklist(rows, _cached(s, d), ["/library"]).select("id")
@@ -309,6 +332,8 @@ QUERIES: dict[str, Query] = {
     "q_index_counts": q_index_counts,
     "q_registry_enabled": q_registry_enabled,
     "q_registry_pending": q_registry_pending,
+    "q_registry_all": q_registry_all,
+    "q_registry_by_id": q_registry_by_id,
     "q_registry_disabled_paths": q_registry_disabled_paths,
     "q_registry_set_enabled": q_registry_set_enabled,
     "q_registry_update": q_registry_update,
@@ -319,9 +344,12 @@ QUERIES: dict[str, Query] = {
     "q_scan_dotfiles": q_scan_dotfiles,
     "q_json_export": q_json_export,
     "q_csv_wide": q_csv_wide,
+    "q_csv_query": q_csv_query,
+    "q_tag_table": q_tag_table,
     "q_find_all": q_find_all,
     "q_highlight_ranges": q_highlight_ranges,
     "q_highlight_html": q_highlight_html,
     "q_cache_names": q_cache_names,
     "q_thumb_worklist": q_thumb_worklist,
+    "q_thumb_counters": q_thumb_counters,
 }

@@ -127,7 +127,7 @@ with scan as (select path, filename, mtime, size from image_snapshots
 
 
 def _place(order: str) -> str:
-    return f"select id, row_number() over (order by {order}, path) as place from images qualify place <= 1000"
+    return f"select id, row_number() over (order by {order}, path) as place from images"
 
 
 def _facets(where: str) -> str:
@@ -138,8 +138,10 @@ def _facets(where: str) -> str:
 
 _IN_HARBOUR = f"id in ({TOKENS} select id from {_ids(_any(' harbour '), 'q')})"
 _MAP = "cast(cast(metadata_json as json) as map(varchar, varchar))"
+_OBJECT = """'{' || array_to_string(list_transform(range(1, len(k) + 1), lambda i: cast(to_json(k[i]) as varchar) || ': ' ||
+    coalesce(cast(to_json(v[i]) as varchar), 'null')), ', ') || '}'"""
 _REGISTRY = "id, path, display_name, enabled, recursive, status, image_count, last_scanned_at, error_message"
-_ESCAPED = """replace(replace(replace(replace(replace(filename, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+_ESCAPED = """replace(replace(replace(replace(replace(metadata_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
     '"', '&quot;'), '''', '&#x27;')"""
 _THUMB = "sha1(path || '|' || cast(mtime as varchar) || '|' || cast(size as varchar)) || '.png'"
 
@@ -187,23 +189,27 @@ SQL: dict[str, str] = {
     "q_facets_ignore_ext": _facets("true"),
     "q_folder_counts": """select substr(path, 1, greatest(length(path) - length(filename) - 1, 0)) as folder,
         count(*) as n from images group by 1""",
-    "q_tree": """
+    "q_tree": r"""
         with d as (select substr(path, 1, greatest(length(path) - length(filename) - 1, 0)) as folder, count(*) as n
-                   from images where starts_with(path, '/') group by 1),
-        e as (select distinct folder, unnest(list_transform(range(2, len(string_split(folder, '/')) + 1),
-                 lambda i: array_to_string(string_split(folder, '/')[1:i], '/'))) as path from d where folder <> ''),
-        k as (select path, len(string_split(path, '/')) as level, count(*) as below from e group by 1, 2),
-        b as (select coalesce(max(level) filter (where below = (select count(*) from d where folder <> '')),
-                              min(level)) as base from k)
-        select k.path, string_split(k.path, '/')[-1] as name, cast(level - base as integer) as depth,
-               coalesce(d.n, 0) as n
+                   from images group by 1),
+        f as (select folder, replace(folder, '\', '/') as s, starts_with(folder, '\\') as share from d where folder <> ''),
+        c as (select *, list_filter(range(1, length(s) + 1), lambda i: s[i] = '/' and i > 1 and s[i - 1] <> '/') as cuts from f),
+        w as (select folder, share, s, list_concat(
+                case when share then list_filter(cuts, lambda i: i > 2)[2:] when s[1] = '/' then list_concat([2], cuts) else cuts end,
+                [length(s) + 1]) as ends from c),
+        e as (select distinct folder, substr(folder, 1, u - 1) as path, i as level from (
+                select folder, unnest(ends) as u, unnest(range(1, len(ends) + 1)) as i from w)),
+        k as (select path, min(level) as level, count(*) as below from e group by 1),
+        b as (select coalesce(max(level) filter (where below = (select count(*) from f)), min(level)) as base from k)
+        select k.path, case when level = 1 then k.path else regexp_extract(k.path, '[^/\\]*$') end as name,
+               cast(level - base as integer) as depth, coalesce(d.n, 0) as n
         from k cross join b left join d on d.folder = k.path where level >= base""",
     "q_distinct_keys": f"select distinct unnest(map_keys({_MAP})) as tag from images",
     "q_tags": f"select id, unnest(map_keys({_MAP})) as tag, unnest(map_values({_MAP})) as value from images",
     "q_tokens": f"select term, count(*) as n from (select unnest({_tokens('metadata_text')}) as term from images_fts) group by 1",
-    "q_metadata_text": f"""select id, len({_tokens('''concat_ws(' ', array_to_string(map_keys(x), ' '),
-        array_to_string(map_values(x), ' '), to_json(x))''')}) as n_tokens
-        from (select id, {_MAP} as x from images)""",
+    "q_metadata_text": f"""select id, concat_ws(' ', array_to_string(flatten(list_transform(range(1, len(k) + 1),
+        lambda i: [k[i], v[i]])), ' '), {_OBJECT}) as text
+        from (select id, map_keys({_MAP}) as k, map_values({_MAP}) as v from images)""",
     "q_upsert": f"""{SCAN} select i.id, coalesce(s.path, i.path) as path, coalesce(s.filename, i.filename) as filename,
         case when s.path is null then i.size else s.size end as size,
         case when s.path is null then i.mtime else s.mtime end as mtime
@@ -221,6 +227,8 @@ SQL: dict[str, str] = {
     "q_index_counts": f"""{SCAN} select count(*) filter (where size is not null) as indexed,
         count(*) filter (where size is null) as errors from scan""",
     "q_registry_enabled": "select id, path from indexed_folders where enabled",
+    "q_registry_all": f"select {_REGISTRY} from indexed_folders",
+    "q_registry_by_id": f"select {_REGISTRY} from indexed_folders where id = 5",
     "q_registry_pending": "select id, path, status from indexed_folders where enabled and status in ('queued', 'scanning')",
     "q_registry_disabled_paths": "select path from indexed_folders where not enabled",
     "q_registry_set_enabled": """select id, path, display_name, enabled or id = 6 as enabled, recursive,
@@ -239,21 +247,32 @@ SQL: dict[str, str] = {
     "q_scan_blacklist": r"""select id from images where len(list_filter(string_split(replace(path, '\', '/'), '/'),
         lambda x: regexp_full_match(x, '[.].*|Thumbs[.]db|desktop[.]ini|@eaDir'))) = 0""",
     "q_scan_dotfiles": "select id from images where not starts_with(filename, '.')",
-    "q_json_export": f"select path, filename, mtime, size, cast(len(map_keys({_MAP})) as integer) as entries from images",
-    "q_csv_wide": """select path, filename,
-        coalesce(json_extract_string(metadata_json, '$."IFD0:Make"'), '') as make,
-        coalesce(json_extract_string(metadata_json, '$."IPTC:City"'), '') as city,
-        cast((select count(distinct k) + 2 from (select unnest(json_keys(metadata_json)) as k from images)) as integer)
-        as columns from images""",
-    "q_find_all": """select id, cast(unnest(list_filter(range(0, length(filename)),
-        lambda i: substr(filename, i + 1, 1) = '0')) as integer) as start from images_fts""",
-    "q_highlight_ranges": """with c as (select id, string_split(filename, '00') as x from images_fts),
+    "q_json_export": f"""select path, filename, mtime, size, {_OBJECT} as metadata
+        from (select *, map_keys({_MAP}) as k, map_values({_MAP}) as v from images)""",
+    "q_csv_wide": f"""with m as (select path, filename, {_MAP} as m from images),
+        n as (select key, row_number() over (partition by lower(key) order by key) + cast(lower(key) in ('path', 'filename') as integer) as n
+              from (select distinct unnest(map_keys(m)) as key from m)),
+        k as (select list(key order by key) as keys, list(case when n > 1 then key || ' (' || n || ')' else key end order by key) as names from n)
+        select path, filename, md5(array_to_string(list_transform(range(1, len(keys) + 1),
+            lambda i: names[i] || '=' || coalesce(m[keys[i]], '')), chr(10))) as cells, cast(len(keys) + 2 as integer) as columns
+        from m cross join k""",
+    "q_csv_query": f"""with h as (select path, {_MAP} as m from images
+            where id in ({TOKENS} select id from {_ids(_any(' harbour '), 'q')} intersect select id from {_ids(_any(' market '), 'q')}))
+        select path, cast((select count(distinct key) from (select unnest(map_keys(m)) as key from h)) + 2 as integer) as columns
+        from h""",
+    "q_tag_table": f"""select unnest(map_keys({_MAP})) as tag, unnest(map_values({_MAP})) as value from images where id = 1""",
+    "q_find_all": """select id, cast(i - 1 as integer) as start from (
+        select id, metadata_text as t, unnest(range(1, length(metadata_text) + 1)) as i from images_fts) where t[i] = '0'""",
+    "q_highlight_ranges": """with c as (select id, string_split(metadata_text, '00') as x from images_fts),
         r as (select id, unnest(list_transform(range(1, len(x)), lambda k:
                 list_sum(list_transform(x[1:k], lambda y: length(y))) + 2 * (k - 1))) as start from c)
         select id, cast(start as integer) as start, cast(start + 2 as integer) as end from r""",
     "q_highlight_html": f"""select id, replace({_ESCAPED}, '00',
         '<span style="background-color:#fff176">00</span>') as html from images_fts""",
     "q_cache_names": f"select path, {_THUMB} as cache_name from images",
-    "q_thumb_worklist": f"""select id from images where size <= 1073741824 and not starts_with(path, '/library')
+    "q_thumb_counters": f"""with c as (select {_THUMB} in (select {_THUMB} from images where starts_with(path, '/archive/')) as have
+            from images where not starts_with(path, '/library/'))
+        select count(*) as total, count(*) filter (where have) as cached, count(*) filter (where not have) as missing from c""",
+    "q_thumb_worklist": f"""select id from images where coalesce(size <= 1073741824, true) and not starts_with(path, '/library/')
         and {_THUMB} not in (select {_THUMB} from images where starts_with(path, '/archive/'))""",
 }

@@ -44,13 +44,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is configured (tests)."""
+    """The folder named by spark.checkpoint.dir. Where none is named, as in tests, a session that runs on one machine
+    gets a temporary one; on a cluster there must be one that all executors share."""
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="darkslide-checkpoint-")
     spark.sparkContext.setCheckpointDir(named)
     return jsc.getCheckpointDir().get()

@@ -8,7 +8,8 @@ from pathlib import PurePosixPath, PureWindowsPath
 
 import pytest
 
-from darkslide.functions.text import find_all, highlighted, merged_ranges, metadata_text
+from darkslide.functions.entries import tag_map
+from darkslide.functions.text import find_all, highlighted, json_object, merged_ranges, metadata_text, pretty_json, step
 from darkslide.operators import catalog, export, registry
 from darkslide.operators.ingest import build_index
 from darkslide.plans.search import Request, count, facets
@@ -136,7 +137,63 @@ def test_exports(spark):
     nested = spark.createDataFrame([('{"G": {"a": 1, "b": true}, "S": "x", "L": [1, 2]}',)], "j string")
     assert nested.select(export.flattened(F.col("j"))).first()[0] == {"G:a": "1", "G:b": "true", "S": "x", "L": "[1,2]"}
     work = export.thumbnail_worklist(df, export.cache_names(df.where("id = 1")).selectExpr("replace(cache_name, '.png', '.skip') as name"), ["/c"])
-    assert [r["id"] for r in work.collect()] == [2]
+    assert [r["id"] for r in work.collect()] == [2, 3]  # a folder's own path isn't below it
+
+
+def test_thumbnails_leave_out_folders_not_their_siblings(spark):
+    paths = ["/library/a.jpg", "/library2/a.jpg", "/library/sub/b.jpg", "/x/library/c.jpg"]
+    rows = [(i, p, p.rsplit("/", 1)[1], 1.0, None if i == 1 else 5, "{}") for i, p in enumerate(paths)] + [(9, "/y", "y", 0.0, 1 << 31, "{}")]
+    df = spark.createDataFrame(rows, IMAGES)
+    none = spark.createDataFrame([], "name string")
+    work = export.thumbnail_worklist(df, none, ["/library/../library/"])
+    assert sorted(r["id"] for r in work.collect()) == [1, 3]
+    have = export.cache_names(df.where("id = 3")).selectExpr("cache_name as name")
+    assert tuple(export.thumbnail_counters(df, have, ["/library"]).first()) == (3, 1, 2)
+    assert export.thumbnail_worklist(spark.createDataFrame([], IMAGES), none).count() == 0
+
+
+def test_listed_cache(spark, tmp_path):
+    for name in ("a.png", "b.skip", "c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted(r["name"] for r in export.listed_cache(spark, str(tmp_path)).collect()) == ["a.png", "b.skip"]
+    assert export.listed_cache(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_written_exports(spark, tmp_path):
+    import csv
+
+    rows = [(1, "/a", "a", 0.5, 3, json.dumps({"K": 'say "x", y\nz', "G": {"a": 1}})), (2, "/b", "b", 0.0, None, "bad")]
+    df = spark.createDataFrame(rows, IMAGES).coalesce(1)
+    export.write_csv(df, str(tmp_path / "csv"))
+    file = next((tmp_path / "csv").glob("*.csv"))
+    with open(file, newline="", encoding="utf-8") as f:
+        made = list(csv.reader(f))
+    assert made == [["path", "filename", "G:a", "K"], ["/a", "a", "1", 'say "x", y\nz'], ["/b", "b", "", ""]]
+    assert export.write_json(df, str(tmp_path / "json")) and not export.write_json(df, str(tmp_path / "no"), cancelled=True)
+    back = [json.loads(x) for x in next((tmp_path / "json").glob("*.json")).read_text().splitlines()]
+    assert back[0]["metadata"]["K"] == 'say "x", y\nz' and back[1]["path"] == "/b" and not (tmp_path / "no").exists()
+
+
+def test_tag_table_and_json(spark):
+    rows = [(1, "/a", "a", 0.0, 0, json.dumps({"b": "2", "A": "1", "É": "4", "c": 'q"\\'}))]
+    df = spark.createDataFrame(rows, IMAGES)
+    assert [r["tag"] for r in export.tag_table(df, 1).collect()] == ["A", "b", "c", "É"]
+    made = df.select(json_object(tag_map(F.col("metadata_json"))).alias("j"), pretty_json(tag_map(F.col("metadata_json"))).alias("p")).first()
+    known = {"b": "2", "A": "1", "É": "4", "c": 'q"\\'}
+    assert made["j"] == json.dumps(known, ensure_ascii=False) and made["p"] == json.dumps(known, ensure_ascii=False, indent=2)
+
+
+def test_registry_reads(spark):
+    rows = [(2, "/b", "b", True, True, "new", 0, None, None), (1, "/a", "a", False, True, "disabled", 0, None, None)]
+    df = spark.createDataFrame(rows, REGISTRY)
+    assert [r["path"] for r in registry.everything(df).collect()] == ["/a", "/b"]
+    assert registry.by_id(df, 2).first()["path"] == "/b" and registry.by_id(df, 9).count() == 0
+    assert registry.exists(df, "/x/../a/") and not registry.exists(df, "/c") and registry.cleared(df).count() == 0
+
+
+def test_steps_through_hits():
+    assert [step([3, 9, 12], at) for at in (-1, 0, 2)] == [0, 1, 0] and step([], 0) == -1
+    assert [step([3, 9, 12], at, forward=False) for at in (3, 0, 1)] == [2, 2, 0]
 
 
 def test_text_functions(spark):
@@ -148,7 +205,7 @@ def test_text_functions(spark):
     html = df.select(highlighted(F.col("t"), "aa", "#fff")).first()[0]
     assert html == 'a&lt;b <span style="background-color:#fff">aA</span>a'
     text = spark.sql("select map('Make', 'Canon', 'D', 'Café & Co.') as m").select(metadata_text(F.col("m"))).first()[0]
-    assert text == 'Make Canon D Café & Co. {"Make":"Canon","D":"Café & Co."}'
+    assert text == 'Make Canon D Café & Co. ' + json.dumps({"Make": "Canon", "D": "Café & Co."}, ensure_ascii=False)
     assert spark.sql("select map() as m").select(metadata_text(F.expr("cast(m as map<string,string>)"))).first()[0].endswith("{}")
 
 
