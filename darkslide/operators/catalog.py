@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import posixpath
 import uuid
 
@@ -84,46 +83,72 @@ def run_counters(scanned: DataFrame) -> DataFrame:
     )
 
 
+class Conflict(RuntimeError):
+    """Someone else committed since the catalogue was read."""
+
+
 class Catalog:
-    """A catalogue kept as one Parquet folder per version and a pointer file that names the current one.
+    """A catalogue kept as one Parquet folder per version of a table, and numbered pointers that name the current ones.
 
-    A version is written whole before the pointer is swapped, so readers see the old or the new table and a job that
-    dies leaves the old one."""
+    A version is written whole before its pointer is made, so readers see the old or the new tables and a job that dies
+    leaves the old ones. Pointers are files that are created and never replaced: of two writers that both follow the same
+    pointer one fails. Tables and pointers are reached through Hadoop's file systems, so a catalogue can lie wherever
+    Spark reads and writes."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = guard(spark), root
-        os.makedirs(root, exist_ok=True)
-
-    def _pointer(self) -> str:
-        return os.path.join(self.root, "CURRENT.json")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._hadoop.Path(root))
+
+    def _path(self, *parts: str):
+        return self._hadoop.Path("/".join([self.root, *parts]))
+
+    def _numbers(self) -> list[int]:
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path())]
+        return sorted((int(n[8:-5]) for n in names if n.startswith("CURRENT-") and n.endswith(".json")), reverse=True)
+
+    def current(self) -> tuple[int, dict[str, str]]:
+        """(number of the pointer, folder of each table); 0 and nothing before the first commit. A pointer that is just
+        being written doesn't count yet."""
+        for number in self._numbers():
+            file = self._fs.open(self._path(f"CURRENT-{number}.json"))
+            try:
+                said = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+            finally:
+                file.close()
+            try:
+                return number, json.loads(said)
+            except ValueError:
+                continue
+        return 0, {}
 
     def read(self, name: str = "images") -> DataFrame | None:
-        if not os.path.exists(self._pointer()):
-            return None
-        with open(self._pointer()) as f:
-            version = json.load(f).get(name)
-        return self.spark.read.parquet(os.path.join(self.root, version)) if version else None
-
-    def commit(self, **tables: DataFrame) -> None:
-        """Writes new versions of the tables and makes all of them current at once."""
-        current = {}
-        if os.path.exists(self._pointer()):
-            with open(self._pointer()) as f:
-                current = json.load(f)
+        folder = self.current()[1].get(name)
+        return self.spark.read.parquet(f"{self.root}/{folder}") if folder else None
+
+    def commit(self, after: int | None = None, **tables: DataFrame) -> None:
+        """Writes new versions of the tables and makes all of them current at once. With `after`, the number of the pointer
+        that the tables were made from, it fails if there is a later one."""
+        number, current = self.current()
+        if after is not None and number != after:
+            raise Conflict(f"the catalogue is at {number}, not at {after}")
         for name, df in tables.items():
             current[name] = f"{name}-{uuid.uuid4().hex}"
-            df.write.parquet(os.path.join(self.root, current[name]))
-        draft = self._pointer() + f".{uuid.uuid4().hex}"
-        with open(draft, "w") as f:
-            json.dump(current, f)
-        os.replace(draft, self._pointer())
+            df.write.parquet(f"{self.root}/{current[name]}")
+        pointer = self._path(f"CURRENT-{number + 1}.json")
+        try:
+            file = self._fs.create(pointer, False)
+        except Exception as taken:
+            raise Conflict(f"pointer {number + 1} was made by someone else") from taken
+        try:
+            file.write(bytearray(json.dumps(current).encode()))
+        finally:
+            file.close()
 
     def clear(self) -> None:
         """Empties every table, keeping its columns."""
-        if os.path.exists(self._pointer()):
-            with open(self._pointer()) as f:
-                names = list(json.load(f))
-            self.commit(**{n: self.read(n).limit(0) for n in names})
+        self.commit(**{n: self.read(n).limit(0) for n in self.current()[1]})
 
 
 def normalised(path: str) -> str:

@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from darkslide.functions.paths import with_longest_folder
+from darkslide.functions.text import ascii_lower
 from darkslide.sources.tables import union
 
 COLUMNS = [
@@ -77,6 +79,15 @@ def disabled_paths(registry: DataFrame) -> DataFrame:
     return registry.where(~F.col("enabled")).select("path")
 
 
+def outside_disabled(images: DataFrame, registry: DataFrame) -> DataFrame:
+    """The pictures outside all disabled folders: joins by the folder above at each depth, not a list of conditions. A to
+    Z compare regardless of case, as in other filters of folders."""
+    off = disabled_paths(registry).select(ascii_lower(F.col("path")).alias("path"), F.lit(True).alias("off"))
+    rows = images.withColumn("__low", ascii_lower(F.col("path")))
+    marked = with_longest_folder(rows, off, "__low", {"off": "__off"})
+    return marked.where(F.col("__off").isNull()).drop("__low", "__off")
+
+
 def pending(registry: DataFrame) -> DataFrame:
     return registry.where(F.col("enabled") & F.col("status").isin(PENDING)).orderBy("path")
 

@@ -5,6 +5,7 @@ so a search is a projection and a filter that Spark plans like any other."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -59,9 +60,13 @@ class Without:
 Node = Phrase | Near | Both | Either | Without
 
 
+# Fixed value: what a query may hold; anything else becomes a blank.
+NOT_ALLOWED = r'[^\w\s"*:^()]'
+
+
 def sanitise(query: str) -> str:
     """Everything but words, blanks and the signs of the language becomes a blank; blanks are collapsed."""
-    return re.sub(r"\s+", " ", re.sub(r'[^\w\s"*:^()]', " ", query)).strip()
+    return re.sub(r"\s+", " ", re.sub(NOT_ALLOWED, " ", query)).strip()
 
 
 def _lex(text: str) -> list[tuple[str, str]]:
@@ -334,6 +339,16 @@ def frequency(p: Phrase, tokens: dict[str, Column]) -> Column:
     return out
 
 
+def weight(documents: int, holding: int) -> float:
+    """The weight of a phrase that so many of all documents hold."""
+    value = math.log((documents - holding + 0.5) / (holding + 0.5))
+    return value if value > 0 else LEAST_IDF
+
+
+def bm25(tf: Column, length: Column, idf: float, average: float) -> Column:
+    return -F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
 def score(node: Node | None, tokens: dict[str, Column], idf: dict[Phrase, float], average: float) -> Column:
     """The BM25 rank, negative and better the lower: a phrase counts only where every part of the tree around it
     matches."""
@@ -344,8 +359,7 @@ def score(node: Node | None, tokens: dict[str, Column], idf: dict[Phrase, float]
         length = F.lit(0)
         for c in COLUMNS:
             length = length + F.size(tokens[c])
-        norm = tf + K1 * (1 - B + B * length / average)
-        return -F.lit(idf[node]) * tf * (K1 + 1) / norm
+        return bm25(tf, length, idf[node], average)
     if isinstance(node, Near):
         inner = sum((score(p, tokens, idf, average) for p in node.phrases[1:]),
                     score(node.phrases[0], tokens, idf, average))

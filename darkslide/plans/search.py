@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import posixpath
 from dataclasses import dataclass, field
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from darkslide.functions.text import ascii_lower, cut, extension, folded, token_count
 from darkslide.plans import match
+from darkslide.plans.index import Stored
 from darkslide.sources.tables import shuffle_partitions, spread, written
 
 # Extensions that a filter also takes, and the named orders.
@@ -93,14 +93,17 @@ def filtered(images: DataFrame, r: Request, with_ext: bool = True) -> DataFrame:
     return images
 
 
-def hits(images: DataFrame, index: DataFrame, r: Request, with_ext: bool = True) -> DataFrame:
-    """The pictures that match the request. A blank query puts no condition on the text; any other is scanned in the
-    index, and only the ids of what matches are joined."""
+def hits(images: DataFrame, index: DataFrame | Stored, r: Request, with_ext: bool = True) -> DataFrame:
+    """The pictures that match the request. A blank query puts no condition on the text; any other is looked up in
+    a stored index, or else scanned for in the texts, and only the ids of what matches are joined."""
     rows = filtered(images, r, with_ext)
     if not r.query.strip():
         return rows
     node = match.parse(r.query)
-    found = candidates(index, node).where(match.matches(node, token_columns()))
+    if isinstance(index, Stored):
+        found = index.matching(node)
+    else:
+        found = candidates(index, node).where(match.matches(node, token_columns()))
     return rows.join(found.select("id"), "id", "left_semi")
 
 
@@ -125,8 +128,7 @@ def statistics(index: DataFrame, node: match.Node | None) -> tuple[dict[match.Ph
             any_of = match.Either(any_of, p)
         counts = [F.count_if(match.phrase_matches(p, columns)) for p in found]
         for p, df in zip(found, candidates(index, any_of).agg(*counts).first(), strict=True):
-            value = math.log((row["n"] - df + 0.5) / (df + 0.5))
-            weights[p] = value if value > 0 else match.LEAST_IDF
+            weights[p] = match.weight(row["n"], df)
     return weights, row["average"] or 1.0
 
 
@@ -150,17 +152,20 @@ def places(rows: DataFrame, name: str) -> DataFrame:
     return dealt.join(F.broadcast(offsets), "__part").select("id", place.alias("place"))
 
 
-def search(images: DataFrame, index: DataFrame, r: Request) -> DataFrame:
+def search(images: DataFrame, index: DataFrame | Stored, r: Request) -> DataFrame:
     """The results in order: by rank if there is a query and no order was asked for, else by the named order."""
     ranked = bool(r.query.strip()) and not r.sort
     if ranked:
         node = match.parse(r.query)
-        weights, average = statistics(index, node)
-        scored = (
-            candidates(index, node)
-            .where(match.matches(node, token_columns()))
-            .select("id", match.score(node, token_columns(), weights, average).alias("score"))
-        )
+        if isinstance(index, Stored):
+            scored = index.scored(node)
+        else:
+            weights, average = statistics(index, node)
+            scored = (
+                candidates(index, node)
+                .where(match.matches(node, token_columns()))
+                .select("id", match.score(node, token_columns(), weights, average).alias("score"))
+            )
         rows = filtered(images, r).join(scored, "id")
         rows = rows.orderBy("score", "path").select(*RESULT, "score")
     else:
@@ -170,11 +175,11 @@ def search(images: DataFrame, index: DataFrame, r: Request) -> DataFrame:
     return rows if r.limit is None else rows.limit(r.limit)
 
 
-def count(images: DataFrame, index: DataFrame, r: Request) -> DataFrame:
+def count(images: DataFrame, index: DataFrame | Stored, r: Request) -> DataFrame:
     return hits(images, index, r).agg(F.count("*").alias("n"))
 
 
-def facets(images: DataFrame, index: DataFrame, r: Request) -> DataFrame:
+def facets(images: DataFrame, index: DataFrame | Stored, r: Request) -> DataFrame:
     """(ext, n) of the formats among the matches, whatever extension is asked for; names without one don't count."""
     ext = extension(F.col("filename"))
     merged = F.coalesce(*[F.when(ext == a, F.lit(b)) for a, b in MERGED.items()], ext)

@@ -29,6 +29,11 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "images_fts")
 
 
+def _stored(spark: SparkSession, d: str) -> inverted.Stored:
+    """The stored index of the tables, built once in a session."""
+    return inverted.stored(spark, d, lambda: _index(spark, d))
+
+
 def _scan(spark: SparkSession, d: str) -> DataFrame:
     """The latest snapshot as a scan: one row per path."""
     rows = table(spark, d, "image_snapshots")
@@ -43,7 +48,7 @@ def _hit_ids(query: str) -> Query:
 
 
 def _index_ids(query: str) -> Query:
-    return lambda s, d: inverted.matching_ids(inverted.postings(_index(s, d)), match.parse(query))
+    return lambda s, d: _stored(s, d).matching(match.parse(query))
 
 
 def _found(**wanted) -> Query:
@@ -62,11 +67,11 @@ def _page(offset: int, limit: int, **wanted) -> Query:
     return run
 
 
-def _ranked(query: str) -> Query:
+def _ranked(query: str, index: Callable[[SparkSession, str], DataFrame | inverted.Stored] = _stored) -> Query:
     """All matches with their score."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        rows = search(_images(s, d), _index(s, d), Request(query))
+        rows = search(_images(s, d), index(s, d), Request(query))
         return rows.select("id", F.round("score", 9).alias("score"))
 
     return run
@@ -81,13 +86,8 @@ def _facets(**wanted) -> Query:
 
 
 def q_exclude_registry(s: SparkSession, d: str) -> DataFrame:
-    """Pictures outside all disabled folders: an anti join by the folder above at each depth, not a list of
-    conditions."""
-    from darkslide.functions.paths import with_longest_folder
-
-    off = registry.disabled_paths(table(s, d, "indexed_folders")).withColumn("off", F.lit(True))
-    rows = with_longest_folder(_images(s, d).select("id", "path"), off, "path", {"off": "off"})
-    return rows.where(F.col("off").isNull()).select("id")
+    """Pictures outside all disabled folders."""
+    return registry.outside_disabled(_images(s, d).select("id", "path"), table(s, d, "indexed_folders")).select("id")
 
 
 def q_distinct_keys(s: SparkSession, d: str) -> DataFrame:
@@ -305,6 +305,10 @@ QUERIES: dict[str, Query] = {
     **{name: _hit_ids(text) for name, text in MATCHES.items()},
     **{name.replace("q_", "q_index_", 1): _index_ids(text) for name, text in MATCHES.items()},
     **{name: _ranked(text) for name, text in RANKED.items()},
+    **{name.replace("q_", "q_scan_", 1): _ranked(text, _index) for name, text in RANKED.items()},
+    "q_index_totals": lambda s, d: _stored(s, d).totals,
+    "q_index_terms": lambda s, d: _stored(s, d).postings.groupBy("term").agg(
+        F.count("*").alias("n"), F.count_distinct("id").alias("documents")),
     **{f"q_sort_{name}": _sorted(name) for name in
        ("filename_asc", "filename_desc", "path_asc", "path_desc", "date_desc", "date_asc", "size_desc")},
     "q_page_2": _page(10, 10, sort="path_asc"),

@@ -172,6 +172,9 @@ SQL: dict[str, str] = {
         "tf0 > 0 or (tf1 > 0 and tf2 > 0)",
         ["tf0 > 0", "tf1 > 0 and tf2 > 0", "tf1 > 0 and tf2 > 0"],
     ),
+    "q_index_totals": f"{TOKENS} select count(*) as documents, avg(len(p) + len(f) + len(m)) as average from s",
+    "q_index_terms": f"""{TOKENS}, w as (select id, unnest(list_concat(p, list_concat(f, m))) as term from s)
+        select term, count(*) as n, count(distinct id) as documents from w group by 1""",
     "q_sort_filename_asc": _place(_low("filename")),
     "q_sort_filename_desc": _place(_low("filename") + " desc"),
     "q_sort_path_asc": _place(_low("path")),
@@ -276,3 +279,4 @@ SQL: dict[str, str] = {
     "q_thumb_worklist": f"""select id from images where coalesce(size <= 1073741824, true) and not starts_with(path, '/library/')
         and {_THUMB} not in (select {_THUMB} from images where starts_with(path, '/archive/'))""",
 }
+SQL |= {k.replace("q_", "q_scan_", 1): v for k, v in SQL.items() if k.startswith("q_bm25_")}

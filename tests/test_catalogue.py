@@ -15,7 +15,7 @@ from darkslide.operators.ingest import build_index
 from darkslide.plans.search import Request, count, facets
 from darkslide.plans.tree import folder_counts, folder_tree
 from darkslide.queries.catalogue import QUERIES
-from darkslide.sources.scan import BLACKLIST, blacklisted, is_picture
+from darkslide.sources.scan import BLACKLIST, blacklisted, is_picture, scan_folders
 from pyspark.sql import functions as F
 
 IMAGES = "id bigint, path string, filename string, mtime double, size bigint, metadata_json string"
@@ -293,6 +293,121 @@ def test_engine(spark, tmp_path):
     assert engine.count() == 0
 
 
+def test_engine_searches_its_stored_index(spark, tmp_path):
+    from darkslide.engine import Engine
+    from darkslide.plans.index import Stored
+    from darkslide.state import SearchState
+
+    root = str(tmp_path / "pics")
+    for i, words in enumerate(["red deer", "red fox", "grey fox"]):
+        write(root, f"p{i}.jpg", words)
+    write(root, "p3.png", "red kite")
+    engine = Engine(spark, str(tmp_path / "catalog"), extractor)
+    engine.add_folder(root)
+    seen = []
+    assert engine.scan(1, on_progress=lambda done, total: seen.append((done, total)), workers=3, json_path=str(tmp_path / "json")).indexed == 4
+    assert seen == [(i + 1, 4) for i in range(4)]
+    assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "json").glob("*.json")) == 4
+    assert isinstance(engine.index, Stored) and engine.count("red") == 3 and engine.count('"red fox"') == 1
+    state = SearchState()
+    assert state.set_query(" red ") and not state.set_query("red")
+    shown = engine.context(state, limit=2)
+    assert shown.total == 3 and shown.results.count() == 2 and {r["ext"]: r["n"] for r in shown.facets.collect()} == {"jpg": 2, "png": 1}
+    assert state.next_page(2) == (0, 2)
+    state.took(2)
+    assert state.next_page(2) == (2, 1) and engine.context(state, limit=2).results.count() == 1
+    tree = engine.tree()
+    assert engine.tree() is tree and tree.agg(F.sum("n")).first()[0] == 4
+    engine.scan(1, json_path=str(tmp_path / "no"), cancelled=lambda: True)
+    assert not (tmp_path / "no").exists() and engine.tree() is not tree
+
+
+def test_engine_queue(spark, tmp_path):
+    from darkslide.engine import Engine
+
+    roots = [str(tmp_path / n) for n in "ab"]
+    for r in roots:
+        write(r, "x.jpg", "Canon")
+    engine = Engine(spark, str(tmp_path / "catalog"), extractor)
+    for r in roots:
+        engine.add_folder(r)
+    for request in ((1, False), (2, False), (1, False), (1, True)):
+        engine.enqueue(*request)
+    assert engine.queue == [(1, False), (2, False), (1, True)]
+    assert {r["status"] for r in engine.registry.collect()} == {"queued"}
+    engine.remove_folder(2)
+    assert [b.indexed for b in engine.run_queue()] == [1, 1] and engine.queue == []
+    engine.enqueue(1)
+    again = Engine.open(spark, str(tmp_path / "catalog"), extractor)
+    assert again.registry.first()["status"] == "indexed"
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    one = catalog.Catalog(spark, str(tmp_path / "catalog"))
+    two = catalog.Catalog(spark, str(tmp_path / "catalog"))
+    assert one.current() == (0, {}) and one.read() is None
+    one.commit(images=images(spark, ["/a"]))
+    start = two.current()[0]
+    one.commit(images=images(spark, ["/a", "/b"]))
+    with pytest.raises(catalog.Conflict):
+        two.commit(after=start, images=images(spark, []))
+    assert two.read().count() == 2
+
+
+def test_files_without_a_stamp_are_errors(spark, tmp_path):
+    root = str(tmp_path / "pics")
+    write(root, "a.jpg", "a")
+    write(root + "/deep/er", "b.jpg", "b")
+    os.symlink(str(tmp_path / "gone"), os.path.join(root, "broken.jpg"))
+    rows = {r["filename"]: r for r in scan_folders(spark, [root]).collect()}
+    assert sorted(rows) == ["a.jpg", "b.jpg", "broken.jpg"] and rows["broken.jpg"]["mtime"] is None
+    assert sorted(r["filename"] for r in scan_folders(spark, [root], recursive=False).collect()) == ["a.jpg", "broken.jpg"]
+    kept = catalog.Catalog(spark, str(tmp_path / "catalog"))
+    built = build_index(spark, kept, [root], extractor)
+    assert (built.indexed, built.errors) == (2, 1) and kept.read().count() == 2
+
+
+def test_extraction_tool(tmp_path):
+    from darkslide.sources.scan import tool_extractor
+
+    def tool(body):
+        path = tmp_path / "tool"
+        path.write_text("#!/bin/sh\n" + body)
+        path.chmod(0o755)
+        return (str(path),)
+
+    answer = tool("""echo '[{"SourceFile": "x", "EXIF": {"ISO": 100, "Flag": true}, "L": [1]}]'""")
+    assert tool_extractor(answer)("x.jpg") == {"SourceFile": "x", "EXIF:ISO": "100", "EXIF:Flag": "True", "L": "[1]"}
+    assert tool_extractor(answer, notes=lambda p: {"PIL:dpi": "72"})("x.PNG")["PIL:dpi"] == "72"
+    assert tool_extractor(tool("sleep 9"), timeout=0.3)("x.jpg") == {}
+    for bad in ("echo nonsense", "exit 3", "echo '[]'", "echo '{}'"):
+        assert tool_extractor(tool(bad))("x.jpg") == {}
+    assert tool_extractor(("/no/such/tool",))("x.jpg") == {}
+
+
+def test_settings(monkeypatch):
+    from darkslide import config
+
+    for said, meant in (("1", True), (" YES ", True), ("off", False), ("maybe", True), ("", True)):
+        monkeypatch.setenv("DARKSLIDE_FLAG", said)
+        assert config.env_flag("DARKSLIDE_FLAG", True) is meant
+    assert not config.env_flag("DARKSLIDE_NONE", False)
+    assert config.catalog_root("work", "/base") == config.catalog_root("work.db", "/base") == "/base/work"
+    assert config.catalog_root("/x/y.db", "/base") == "/x/y.db" and config.catalog_root("a/b", "/base") == "a/b"
+    assert [config.clamped(n, 8) for n in (-1, 3, 99)] == [1, 3, 8] and config.clamped(99, 64) == 16
+    assert config.file_uri("/a b/é#.jpg") == "file:///a%20b/%C3%A9%23.jpg" and config.file_uri("C:\\x y.jpg") == "file:///C:/x%20y.jpg"
+
+
+def test_search_state():
+    from darkslide.state import SearchState
+
+    state = SearchState(query="x", selected=4)
+    assert state.browse("/a") and (state.query, state.folder) == ("", "/a")
+    assert state.browse("/a") and state.folder == "" and state.set_ext(".JPG") and not state.set_ext("jpg")
+    assert state.set_sort("no such") and not state.set_sort("filename_asc")
+    assert state.found(9) == 4 and state.found(3) == 0 and SearchState().next_page() is None
+
+
 def test_streamed_deliveries(spark, tmp_path):
     from darkslide.streaming.ingest import DELIVERY, keep_catalog, stream_deliveries
 

@@ -20,7 +20,12 @@ def ids(df, query):
 
 
 def by_index(df, query):
-    return sorted(r["id"] for r in inverted.matching_ids(inverted.postings(df), match.parse(query)).collect())
+    return sorted(r["id"] for r in unstored(df).matching(match.parse(query)).collect())
+
+
+def unstored(df):
+    made = inverted.build(df)
+    return inverted.Stored(inverted.postings(df), made.lengths, made.totals)
 
 
 TWO = [("canon.jpg", "Make Canon lens 50mm"), ("nikon.jpg", "Make Nikon lens 50mm")]
@@ -132,12 +137,13 @@ def test_order_of_results(spark):
     assert [r["score"] for r in best] == sorted(r["score"] for r in best)
 
 
-def test_stored_postings(spark, tmp_path):
+def test_stored_postings(spark):
     df = frame(spark, TWO)
-    inverted.write_postings(df, str(tmp_path / "postings"), files=2)
-    stored = spark.read.parquet(str(tmp_path / "postings"))
-    query = match.parse("lens NOT nikon")
-    assert [r["id"] for r in inverted.matching_ids(stored, query).collect()] == [1]
+    made = inverted.stored(spark, "two", lambda: df)
+    assert inverted.stored(spark, "two", lambda: None) is made
+    assert [r["id"] for r in made.matching(match.parse("lens NOT nikon")).collect()] == [1]
+    assert tuple(made.totals.first()) == (2, 9.0)
+    stored = made.postings
     plan = stored.where("term = 'lens'")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,lens)]" in plan
 
@@ -147,5 +153,15 @@ def test_unions_of_equally_partitioned_rows_stay_distinct(spark):
     rows = [(f"f{i}.jpg", f"ka lo{i % 3}" + (" mi" if i % 2 else "")) for i in range(300)]
     df = frame(spark, rows)
     for q in ("(ka OR lo1) AND mi", "(ka OR mi) NOT lo2", "ka OR mi OR lo1"):
-        got = [r["id"] for r in inverted.matching_ids(inverted.postings(df), match.parse(q)).collect()]
+        got = [r["id"] for r in unstored(df).matching(match.parse(q)).collect()]
         assert len(got) == len(set(got)) and sorted(got) == ids(df, q)
+
+
+def test_ranks_of_the_stored_index_are_those_of_the_scan(spark):
+    df = frame(spark, [("a.jpg", "ka lo mi ka"), ("b.jpg", "lo mi x"), ("c.jpg", "ka x x x"), ("d.jpg", "")])
+    images = df.selectExpr("id", "path", "filename", "'{}' as metadata_json", "id as size", "cast(id as double) as mtime")
+    for q in ("ka", "ka OR lo", '"lo mi"', "ka OR (lo AND x)", "k* NOT lo", "NEAR(ka mi)", "nothing"):
+        ranks = [{r["id"]: round(r["score"], 9) for r in search(images, i, Request(q)).collect()} for i in (df, unstored(df))]
+        assert ranks[0] == ranks[1], q
+    empty = unstored(df.limit(0))
+    assert search(images, empty, Request("ka")).count() == 0
