@@ -28,7 +28,8 @@ QUANTITY_NAMES = [
 
 
 def p1_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every time of the images as an instant, with the reading chosen and whether it stayed ambiguous."""
+    """Every time of the images as an instant, with the reading chosen and whether it stayed ambiguous. A source is a tag
+    as a make of camera writes it, the tag is its family."""
     zones = table(spark, sf_dir, "folder_zones").groupBy("folder_id").agg(F.min("zone_name").alias("zone_name"))
     folders = table(spark, sf_dir, "indexed_folders").select("id", "path")
     folders = folders.join(zones, folders["id"] == zones["folder_id"], "left").select("path", "zone_name")
@@ -38,7 +39,7 @@ def p1_times(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path",
         {"zone_name": "folder_zone"},
     )
-    written = entries(images, TIME_NAMES, ["id", "folder_zone"], ["OffsetTimeOriginal", "OffsetTime"])
+    written = entries(images, TIME_NAMES, ["id", "folder_zone"], ["OffsetTimeOriginal", "OffsetTime", "Make"])
     own = (
         F.when(F.col("name") == "DateTimeOriginal", F.col("OffsetTimeOriginal"))
         .when(F.col("name") == "ModifyDate", F.col("OffsetTime"))
@@ -47,7 +48,8 @@ def p1_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = written.select(
         "id",
         "tag",
-        F.col("tag").alias("source"),
+        F.concat_ws("\t", "tag", "Make").alias("source"),
+        F.col("tag").alias("family"),
         "value",
         F.lit(None).cast("double").alias("number"),
         own.alias("own_zone"),
@@ -57,6 +59,7 @@ def p1_times(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id",
         F.lit("mtime").alias("tag"),
         F.lit("mtime").alias("source"),
+        F.lit("mtime").alias("family"),
         F.lit(None).cast("string").alias("value"),
         F.col("mtime").alias("number"),
         F.lit(None).cast("string").alias("own_zone"),

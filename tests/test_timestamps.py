@@ -106,6 +106,48 @@ def test_fit_prefers_what_only_one_reading_explains():
     assert list(out["reading"]) == [0, 0] and out["posterior"].min() > 0.99 and READINGS[0] == "dmy"
 
 
+def test_a_minority_keeps_its_own_order(spark):
+    rows = [("many", f"{d}/03/2015 10:00:00", None, None, "UTC") for d in range(13, 29)] * 20
+    rows += [("few", f"03/{d}/2015 10:00:00", None, None, "UTC") for d in range(13, 29)] * 3
+    rows += [("few", "02/07/2015 10:00:00", None, None, "UTC"), ("many", "02/07/2015 10:00:00", None, None, "UTC")]
+    got = read(spark, rows)
+    assert got[len(rows) - 2]["utc_second"] == at(2015, 2, 7, 10) and got[len(rows) - 2]["reading"] == "mdy"
+    assert got[len(rows) - 1]["utc_second"] == at(2015, 7, 2, 10) and got[len(rows) - 1]["reading"] == "dmy"
+
+
+def test_times_at_a_change_of_clocks_are_marked(spark):
+    berlin, howe = "Europe/Berlin", "Australia/Lord_Howe"
+    rows = [
+        ("t", "2021-10-31 02:30:00", None, None, berlin),  # occurs twice
+        ("t", "2021-03-28 02:30:00", None, None, berlin),  # is skipped
+        ("t", "2021-10-31 01:59:59", None, None, berlin),
+        ("t", "2021-10-31 03:00:00", None, None, berlin),
+        ("t", "2021-07-01 02:30:00", None, None, berlin),
+        ("t", "2021-04-04 01:45:00", None, None, howe),  # occurs twice, half an hour apart
+        ("t", "2021-10-31 02:30:00+02:00", None, None, berlin),
+    ]
+    got = read(spark, rows)
+    assert [got[i]["ambiguous"] for i in range(len(rows))] == [True, True, False, False, False, True, False]
+    assert got[0]["utc_second"] == at(2021, 10, 31, 0, 30) and got[1]["utc_second"] == at(2021, 3, 28, 1, 30)
+    assert got[0]["posterior"] == pytest.approx(0.5)
+
+
+def test_abbreviations_with_several_meanings(spark):
+    noon = at(2021, 1, 10, 12)
+    rows = [
+        ("a", "2021-01-10 12:00:00 IST", None, None, "Asia/Kolkata"),
+        ("a", "2021-01-10 12:00:00 IST", None, None, None),
+        ("b", "2021-01-10 12:00:00 CST", None, None, "America/Chicago"),
+        ("a", "2021-01-10 12:00:00 JST", None, None, None),
+    ]
+    got = read(spark, rows)
+    assert [noon - got[i]["utc_second"] for i in range(4)] == [19800, 19800, -21600, 32400]
+    assert [got[i]["ambiguous"] for i in range(4)] == [False, True, False, False]
+    china = [("c", "2021-01-10 12:00:00 CST", None, None, "Asia/Shanghai")] * 60
+    got = read(spark, [*china, ("c", "2021-01-10 12:00:00 CST", None, None, None)])
+    assert noon - got[0]["utc_second"] == 28800 and noon - got[60]["utc_second"] == 28800 and got[60]["posterior"] < 0.95
+
+
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([("s", "2020:01:01 00:00:00", None, None, "UTC", "kept")], COLUMNS + ", mask string")
     row = normalise_times(df).first()
