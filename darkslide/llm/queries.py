@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from darkslide.llm import encoding, mixing, tokenizer, truncation
 from darkslide.sources.tables import spread, table, union
 
-# Entries that are lists, numbers or times, not text in one language.
-NOT_TEXT = ["Keywords", "Subject", "XPKeywords", "HierarchicalSubject"]
-
-
-def _index_json(text):
-    """The JSON object at the end of an index text."""
-    return F.substring(text, F.locate("{", text), F.length(text))
+# Entries that hold several values.
+LISTS = ["Keywords", "Subject", "XPKeywords", "HierarchicalSubject"]
+MAP = "map<string,string>"
 
 
 def _model(spark: SparkSession, sf_dir: str) -> encoding.Model:
@@ -22,27 +18,38 @@ def _model(spark: SparkSession, sf_dir: str) -> encoding.Model:
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(field_name, id, json) of both fields; an index text repeats its keys and values as JSON at its end."""
+    """(field_name, id, texts) of both fields.
+
+    An index text repeats its keys and values as JSON at its end. What stands before the JSON is a text of its own where it
+    isn't just those keys and values again, and so is all of an index text whose end doesn't parse."""
     images = spread(table(spark, sf_dir, "images").select("id", "metadata_json"), "id").select(
-        F.lit("metadata_json").alias("field_name"), "id", F.col("metadata_json").alias("json")
+        F.lit("metadata_json").alias("field_name"), "id", encoding.texts_of(F.col("metadata_json"), LISTS).alias("texts")
     )
-    index = spread(table(spark, sf_dir, "images_fts").select("id", "metadata_text"), "id").select(
-        F.lit("metadata_text").alias("field_name"), "id", _index_json(F.col("metadata_text")).alias("json")
+    text = F.col("metadata_text")
+    start = F.locate('{"', text)
+    index = spread(table(spark, sf_dir, "images_fts").select("id", "metadata_text"), "id")
+    # The generator keeps the JSON from being parsed for each thing that is read off it.
+    parsed = F.from_json(F.when(start > 0, F.substring(text, start, F.length(text))), MAP)
+    index = index.select("id", "metadata_text", start.alias("start"), F.explode(F.array(parsed)).alias("m"))
+    pairs = F.transform(F.map_entries("m"), lambda e: F.concat_ws(" ", e["key"], e["value"]))
+    said = F.substring(text, F.lit(1), F.col("start") - 1)
+    odd = F.when(F.col("m").isNull(), text).when(F.rtrim(said) != F.rtrim(F.array_join(pairs, " ")), said)
+    texts = F.concat(
+        F.coalesce(encoding.texts_in(F.col("m"), LISTS), F.array().cast("array<string>")),
+        F.filter(F.array(odd), lambda x: x.rlike(encoding.NON_ASCII)),
     )
-    return union(images, index)
+    return union(images, index.select(F.lit("metadata_text").alias("field_name"), "id", texts.alias("texts")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The images with damaged text, by field."""
-    texts = encoding.texts_of(F.col("json"), NOT_TEXT)
-    rows = _fields(spark, sf_dir).select("field_name", "id", texts.alias("texts"))
+    rows = _fields(spark, sf_dir)
     return encoding.find_damaged(rows.where(F.size("texts") > 0), "texts", _model(spark, sf_dir))
 
 
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each damaged text with the restored one and the chain of encodings that restores it."""
-    texts = encoding.texts_of(F.col("json"), NOT_TEXT)
-    rows = _fields(spark, sf_dir).select("field_name", "id", F.explode(texts).alias("damaged_text"))
+    rows = _fields(spark, sf_dir).select("field_name", "id", F.explode("texts").alias("damaged_text"))
     return encoding.restore(rows, "damaged_text", _model(spark, sf_dir)).where("damaged").drop("damaged")
 
 
