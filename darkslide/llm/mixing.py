@@ -72,7 +72,12 @@ def _filled(weights: np.ndarray, most: np.ndarray, total: float) -> np.ndarray:
 
 
 def rake(cells: list[Cell], budget: dict[str, float], repeats: dict[str, int]) -> np.ndarray:
-    """Expected uses of a document of each cell.
+    """Expected uses of a document of each cell."""
+    return fitted(cells, budget, repeats)[0]
+
+
+def fitted(cells: list[Cell], budget: dict[str, float], repeats: dict[str, int]) -> tuple[np.ndarray, int, float]:
+    """(expected uses of a document of each cell, rounds, share of the tokens that the last round still moved).
 
     The marginals of languages and topics are those of the listed sources' own tokens. They are met as far as sources
     and repeats allow; the marginal of sources is met exactly."""
@@ -97,16 +102,18 @@ def rake(cells: list[Cell], budget: dict[str, float], repeats: dict[str, int]) -
                 x[mine] = _filled(x[mine], most[mine], budget[s])
         return x
 
-    for _ in range(ROUNDS):
+    rounds, moved = 0, 0.0
+    for rounds in range(1, ROUNDS + 1):
         old = x
         for of, wanted, n in sides:
             sums = np.bincount(of, x, n)
             x = x * np.divide(wanted, sums, out=np.zeros(n), where=sums > 0)[of]
             x = np.maximum(x, tokens * 1e-9)
         x = to_sources(x)
-        if np.abs(x - old).sum() <= CLOSE * max(total, 1.0):
+        moved = float(np.abs(x - old).sum() / max(total, 1.0))
+        if moved <= CLOSE:
             break
-    return np.divide(x, tokens, out=np.zeros_like(x), where=tokens > 0)
+    return np.divide(x, tokens, out=np.zeros_like(x), where=tokens > 0), rounds, moved
 
 
 def sized(documents: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
@@ -171,7 +178,8 @@ def mix(
     documents gives nothing, and its share goes to the others. No document is used more than max_repeats times.
     Documents are ranked by size within their cell through counts for each size and hash bucket, so no task ever sees
     more than one bucket, however many documents a cell, a size or a copied text has."""
-    return _drawn(sized(documents, tokenizers), targets, fraction, seed)[0]
+    used = _drawn(sized(documents, tokenizers), targets, fraction, seed)[0]
+    return used.select("doc_id", "source", "n_tokens", "uses")
 
 
 def _drawn(sizes: DataFrame, targets: DataFrame, fraction: float, seed: int) -> tuple[DataFrame, list, dict, float]:
@@ -211,7 +219,7 @@ def _drawn(sizes: DataFrame, targets: DataFrame, fraction: float, seed: int) ->
         placed.join(before, group)
         .withColumn("uses", (F.floor("weight") + extra).cast("int"))
         .where("uses > 0")
-        .select("doc_id", "source", "n_tokens", "uses")
+        .select("doc_id", "source", "lang", "topic", "n_tokens", "uses")
     )
     return used, listed, budget, everything
 
@@ -245,3 +253,50 @@ def shares(
     return joined.withColumn("actual_share", F.try_divide("used_tokens", F.sum("used_tokens").over(whole))).withColumn(
         "of_corpus", F.try_divide(F.sum("used_tokens").over(whole), F.lit(everything))
     )
+
+
+def marginals(
+    documents: DataFrame, targets: DataFrame, fraction: float = 0.5, seed: int = 11, tokenizers: str = TOKENIZERS
+) -> DataFrame:
+    """(side, name, wanted_share, used_share, gap, rounds, moved): how far the mixture is from the marginals it was raked to,
+    for each source, language and topic of the listed sources. The wanted share of a source is what it was planned to
+    give, of a language or topic its share in the listed sources' own tokens. rounds and moved, the share of the tokens
+    that the last round still moved, say whether the fit converged."""
+    sizes = sized(documents, tokenizers)
+    used, listed, budget, _ = _drawn(sizes, targets, fraction, seed)
+    names = [s for s, _, _ in listed]
+    keys = ["source", "lang", "topic"]
+    had = sizes.where(F.col("source").isin(names) & (F.col("n_tokens") > 0)).groupBy(*keys)
+    had = {tuple(r[k] for k in keys): float(r["n"]) for r in had.agg(F.sum("n_tokens").alias("n")).collect()}
+    got = used.groupBy(*keys).agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("n")).collect()
+    got = {tuple(r[k] for k in keys): float(r["n"]) for r in got}
+    cells = [Cell(*k, n, 1) for k, n in sorted(had.items())]
+    rounds, moved = fitted(cells, budget, {s: r for s, _, r in listed})[1:] if cells else (0, 0.0)
+    rows = []
+    for i, side in enumerate(keys):
+        wanted: dict[str, float] = dict(budget) if side == "source" else {}
+        reached: dict[str, float] = {}
+        for k, n in had.items() if side != "source" else ():
+            wanted[k[i]] = wanted.get(k[i], 0.0) + n
+        for k, n in got.items():
+            reached[k[i]] = reached.get(k[i], 0.0) + n
+        whole, all_ = sum(wanted.values()), sum(reached.values())
+        for name in sorted(wanted.keys() | reached.keys()):
+            want = wanted.get(name, 0.0) / whole if whole else 0.0
+            have = reached.get(name, 0.0) / all_ if all_ else 0.0
+            rows.append((side, name, want, have, have - want, rounds, moved))
+    kind = "side string, name string, wanted_share double, used_share double, gap double, rounds int, moved double"
+    return documents.sparkSession.createDataFrame(rows, kind)
+
+
+def violations(
+    documents: DataFrame, targets: DataFrame, fraction: float = 0.5, seed: int = 11, tokenizers: str = TOKENIZERS
+) -> DataFrame:
+    """(doc_id, uses) of documents that the mixture uses against its rules: of a source that isn't listed, more often than
+    its source allows, twice in the list, or without a token. There must be none."""
+    rules = targets.groupBy("source").agg(F.max("max_repeats").alias("most"))
+    used = mix(documents, targets, fraction, seed, tokenizers).groupBy("doc_id", "source").agg(
+        F.sum("uses").alias("uses"), F.count("*").alias("rows"), F.min("n_tokens").alias("least")
+    )
+    bad = F.col("most").isNull() | (F.col("uses") > F.col("most")) | (F.col("rows") > 1) | (F.col("least") <= 0)
+    return used.join(rules, "source", "left").where(bad).select("doc_id", "uses")

@@ -68,6 +68,21 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the mixture is from the shares of sources, languages and topics it was raked to."""
+    return mixing.marginals(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the mixture uses against its rules: none."""
+    return mixing.violations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document has ids: every one that isn't null or empty, and no other."""
+    return p7_ids(spark, sf_dir).select("doc_id", (F.size("ids") > 0).alias("has_ids"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
 
@@ -88,7 +103,10 @@ QUERIES = {
     "p2_restored": p2_restored,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
+    "p7_lengths": p7_lengths,
     "p8_shares": p8_shares,
+    "p8_marginals": p8_marginals,
+    "p8_violations": p8_violations,
     "p9_found": p9_found,
     "p9_rates": p9_rates,
 }

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from darkslide.llm.mixing import Cell, budgets, mix, rake, shares
+from darkslide.llm.mixing import Cell, budgets, fitted, marginals, mix, rake, shares, violations
 
 DOCS = "doc_id bigint, text string, lang string, source string, doc_kind string"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -62,6 +62,27 @@ def test_mixture(spark):
     assert sorted(map(tuple, mix(docs, targets).collect())) == sorted(map(tuple, rows))
 
 
+def test_marginals_are_reported(spark):
+    docs = corpus(spark, {"a": 900, "b": 60, "c": 300, "unlisted": 200})
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 3), ("c", 0.3, 2), ("absent", 0.1, 5)], TARGETS)
+    rows = {(r["side"], r["name"]): r for r in marginals(docs, targets).collect()}
+    assert {s for s, _ in rows} == {"source", "lang", "topic"} and ("lang", "?") in rows and ("source", "absent") in rows
+    for side in ("source", "lang", "topic"):
+        mine = [r for (s, _), r in rows.items() if s == side]
+        assert sum(r["wanted_share"] for r in mine) == pytest.approx(1) and sum(r["used_share"] for r in mine) == pytest.approx(1)
+        assert all(abs(r["gap"]) < 0.03 for r in mine)
+    assert all(r["moved"] <= 1e-6 and 1 <= r["rounds"] <= 200 for r in rows.values())
+    assert violations(docs, targets).count() == 0
+    empty = spark.createDataFrame([], DOCS)
+    assert marginals(empty, targets.limit(0)).count() == 0 and violations(empty, targets).count() == 0
+
+
+def test_fit_tells_when_it_stopped():
+    cells = [Cell("a", "x", "p", 10.0, 1), Cell("a", "y", "p", 100.0, 1)]
+    weights, rounds, moved = fitted(cells, {"a": 55.0}, {"a": 1})
+    assert weights == pytest.approx([0.5, 0.5]) and rounds < 200 and moved <= 1e-9
+
+
 def test_one_text_copied_many_times(spark):
     docs = spark.range(3000).selectExpr(
         "id as doc_id", "'the same text' as text", "'en' as lang", "if(id % 3 = 0, 'hot', 'b') as source", "'note' as doc_kind"
