@@ -1,12 +1,8 @@
-"""SQL twins of the queries on times, lists and quantities in the JSON of pictures."""
+"""SQL twins of the queries on times, lists and quantities in the JSON of pictures. They share nothing with the operators:
+times are read by the database's own parser of dates, and units have their own table here."""
 
 from __future__ import annotations
 
-import re
-
-from darkslide.operators.timestamps import ABBREVIATIONS, FORMATS, MONTHS
-from darkslide.operators.units import DIMENSIONS, QUANTITIES, SPELLINGS
-
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -24,12 +20,25 @@ def _sibling(name: str) -> str:
     return f"(m[list_filter(map_keys(m), lambda k: regexp_extract(k, '[^:]*$') = '{name}')[1]])"
 
 
-_UNITS = ", ".join(
-    f"({_quoted(q)}, {_quoted(w)}, {DIMENSIONS[d][u][0] * per!r}::double, {DIMENSIONS[d][u][1] * per!r}::double)"
-    for q, (d, bare, per) in QUANTITIES.items()
-    for u, ws in SPELLINGS[d].items()
-    for w in [*ws, *([""] if u == bare else [])]
-)
+# Units as they are written, with what one is in metres, seconds, bytes and dots per inch.
+METRES = {"um": 1e-6, "μm": 1e-6, "mm": 1e-3, "millimeters": 1e-3, "millimetres": 1e-3, "cm": 1e-2, "m": 1.0, "meters": 1.0,
+          "metres": 1.0, "km": 1e3, "in": 0.0254, "inch": 0.0254, "inches": 0.0254, '"': 0.0254, "″": 0.0254, "ft": 0.3048,
+          "feet": 0.3048, "'": 0.3048, "′": 0.3048}
+SECONDS = {"s": 1.0, "sec": 1.0, "seconds": 1.0, '"': 1.0, "″": 1.0, "ms": 1e-3, "msec": 1e-3, "us": 1e-6, "μs": 1e-6, "min": 60.0}
+BYTES = {"": 1.0, "b": 1.0, "byte": 1.0, "bytes": 1.0, "kb": 1e3, "mb": 1e6, "gb": 1e9, "kib": 1024.0, "mib": 1048576.0, "gib": 1073741824.0}
+DOTS = {"": 1.0, "dpi": 1.0, "ppi": 1.0, "2": 1.0, "inches": 1.0, "inch": 1.0, "dpcm": 2.54, "dots/cm": 2.54, "px/cm": 2.54,
+        "pixels/cm": 2.54, "3": 2.54, "cm": 2.54}
+CELSIUS = {"": (1.0, 0.0), "c": (1.0, 0.0), "°c": (1.0, 0.0), "deg c": (1.0, 0.0), "f": (1 / 1.8, -32 / 1.8), "°f": (1 / 1.8, -32 / 1.8),
+           "deg f": (1 / 1.8, -32 / 1.8), "k": (1.0, -273.15)}
+
+_ROWS = [("FocalLength", w, x * 1e4, 0.0) for w, x in {**METRES, "": 1e-3}.items()]
+_ROWS += [("GPSAltitude", w, x * 10, 0.0) for w, x in {**METRES, "": 1.0}.items()]
+_ROWS += [("SubjectDistance", w, x * 100, 0.0) for w, x in {**METRES, "": 1.0}.items()]
+_ROWS += [("ExposureTime", w, x * 1e6, 0.0) for w, x in {**SECONDS, "": 1.0}.items()]
+_ROWS += [("FileSize", w, x, 0.0) for w, x in BYTES.items()] + [("XResolution", w, x, 0.0) for w, x in DOTS.items()]
+_ROWS += [("CameraTemperature", w, a * 10, b * 10) for w, (a, b) in CELSIUS.items()]
+_UNITS = ", ".join(f"({_quoted(q)}, {_quoted(w)}, {a!r}::double, {b!r}::double)" for q, w, a, b in _ROWS)
+_NAMES = "'FocalLength', 'ExposureTime', 'GPSAltitude', 'SubjectDistance', 'CameraTemperature', 'FileSize', 'XResolution'"
 _BOTH = r"^([+-]?[0-9]+(?:[.][0-9]+)?)\s*(?:''|′|ft|feet)\s*([0-9]+(?:[.][0-9]+)?)\s*(?:\"|″|in|inches)$".replace('\\"', '"')
 _ONE = r"^([+-]?(?:[0-9][0-9.,]*|[.][0-9]+))\s*(?:/\s*([0-9]+(?:[.][0-9]+)?))?\s*([^0-9]*)$"
 
@@ -38,7 +47,7 @@ with {ENTRIES},
 u(quantity, spelling, scale, shift) as (values {_UNITS}),
 c as (select id, tag, name, replace(replace(trim(value), '−', '-'), 'µ', 'μ') as v,
              lower(trim({_sibling("ResolutionUnit")})) as resolution, lower(trim({_sibling("GPSAltitudeRef")})) as ref
-      from e where name in ({", ".join(_quoted(q) for q in QUANTITIES)})),
+      from e where name in ({_NAMES})),
 p as (select *, regexp_matches(v, '{_BOTH}') as feet, regexp_matches(v, '{_ONE}') as one,
              regexp_extract(v, '{_ONE}', 1) as top, regexp_extract(v, '{_ONE}', 2) as bottom,
              lower(trim(regexp_extract(v, '{_ONE}', 3))) as rest from c),
@@ -82,15 +91,18 @@ select id, tag, cast(unnest(range(1, len(items) + 1)) as integer) as pos, unnest
 """
 
 
-def _canonical(column: str) -> str:
-    for pattern, parts in FORMATS:
-        to = re.sub(r"\$(\d)", r"\\\1", parts)
-        column = f"regexp_replace({column}, {_quoted(pattern)}, {_quoted(to)})"
-    return column
-
-
-_OFFSETS = ", ".join(f"('{k}', {int(v * 3600)})" for k, v in ABBREVIATIONS.items())
-_MONTH_CASE = "case lower(substr(mo, 1, 3)) " + " ".join(f"when '{m}' then {i + 1}" for i, m in enumerate(MONTHS)) + " end"
+# Hours east of UTC of abbreviations.
+HOURS = {"UTC": 0, "GMT": 0, "UT": 0, "Z": 0, "WET": 0, "WEST": 1, "BST": 1, "CET": 1, "CEST": 2, "EET": 2, "EEST": 3, "MSK": 3, "IST": 5.5,
+         "AWST": 8, "JST": 9, "KST": 9, "ACST": 9.5, "ACDT": 10.5, "AEST": 10, "AEDT": 11, "NZST": 12, "NZDT": 13, "NST": -3.5, "NDT": -2.5,
+         "AST": -4, "ADT": -3, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "AKST": -9,
+         "AKDT": -8, "HST": -10}
+_OFFSETS = ", ".join(f"('{k}', {int(v * 3600)})" for k, v in HOURS.items())
+_CLOCKS = ["%H:%M:%S", "%H:%M"]
+_DAYS = ["%Y:%m:%d", "%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%d %b %Y", "%d %B %Y"]
+_PARSED = [f"{d} {c}" for d in _DAYS for c in _CLOCKS] + ["%Y%m%dT%H%M%S", "%Y%m%dT%H%M", "%a %b %d %H:%M:%S %Y"]
+_PARSED += [f"{m} %d{comma} %Y{other} {c} %p" for m in ("%b", "%B") for comma in (",", "") for other in (",", "") for c in ("%I:%M", "%I:%M:%S")]
+_STRPTIME = "[" + ", ".join(_quoted(f) for f in _PARSED) + "]"
+_ZONED = r"(Z|UTC|GMT|[A-Z]{2,4}T|MSK|[+−-][0-9]{2}(?::?[0-9]{2})?|\[[^\]]+\]|[A-Za-z]+/[A-Za-z_/+-]+)$"
 
 P1_FOUND = rf"""
 with {ENTRIES},
@@ -104,17 +116,13 @@ c as (select e.id, e.tag, name, trim(value) as v, h.zone as home,
                        when 'ModifyDate' then {_sibling("OffsetTime")} when 'GPSDateTime' then 'UTC' end as own
       from e left join homes h on h.id = e.id
       where name in ('DateTimeOriginal', 'CreateDate', 'ModifyDate', 'DateCreated', 'CreationTime', 'GPSDateTime')),
-s as (select *, string_split({_canonical("v")}, '|') as p from c),
-d as (select id, tag, home, own, p[1] as y, p[2] as mo, p[3] as d, p[4] as h, p[5] as mi, p[6] as s, p[7] as half,
-             p[8] as z, p[9] as family from s where len(p) = 9),
-t as (select *, try_cast(y || '-' || case when family = 'named' then cast({_MONTH_CASE} as varchar) else mo end || '-' || d
-                         as date) as day,
-             case when half = '' then cast(h as integer)
-                  else cast(h as integer) % 12 + case when lower(half) = 'p' then 12 else 0 end end as hour,
-             cast(mi as integer) as minute, case when s = '' then 0 else cast(s as integer) end as second from d),
-l as (select *, day + to_hours(hour) + to_minutes(minute) + to_seconds(second) as local,
-             translate(coalesce(nullif(z, ''), nullif(trim(own), ''), home), '−:[]', '-') as zone
-      from t where day is not null and hour < 24 and minute < 60 and second < 60 and year(day) between 1800 and 2199),
+s as (select *, case when regexp_matches(v, '[0-9]{{2}}:?[0-9]{{2}}([.,][0-9]*)?( ?[AaPp][Mm])? *' || '{_ZONED}')
+                     then regexp_extract(v, '{_ZONED}', 1) else '' end as z from c),
+t as (select *, regexp_replace(regexp_replace(regexp_replace(trim(left(v, length(v) - length(z))), '([0-9])[.,][0-9]*$', '\1'),
+                '^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*, +', ''), '([0-9])[T ]+([0-9]{{1,2}}:)', '\1 \2') as body from s),
+d as (select *, try_strptime(regexp_replace(regexp_replace(body, '([0-9]) ?([AaPp])[Mm]$', '\1 \2M'), ' +', ' ', 'g'), {_STRPTIME}) as local0 from t),
+l as (select id, tag, local0 as local, translate(coalesce(nullif(z, ''), nullif(trim(own), ''), home), '−:[]', '-') as zone
+      from d where local0 is not null and year(local0) between 1800 and 2199),
 w as (select l.*, case when regexp_matches(zone, '^[+-][0-9]{{2}}([0-9]{{2}})?$')
              then (case when zone[1] = '-' then -1 else 1 end) * (cast(substr(zone, 2, 2) as integer) * 3600
                   + coalesce(try_cast(substr(zone, 4, 2) as integer), 0) * 60) else a.seconds end as shift
