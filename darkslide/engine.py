@@ -94,7 +94,7 @@ class Engine:
         """The tree of folders, kept until the pictures change."""
         version = self.catalog.current()[1].get("images")
         if self._tree is None or self._tree[0] != version:
-            self._tree = (version, written(folder_tree(self.images), "tree"))
+            self._tree = (version, written(folder_tree(self.images).orderBy("path"), "tree"))
         return self._tree[1]
 
     def add_folder(self, path: str, display_name: str = "", recursive: bool = True) -> None:
