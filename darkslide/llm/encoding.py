@@ -1,7 +1,7 @@
 """Text that was decoded with a wrong character encoding: found by description length, restored where possible.
 
 Every reading of a text (as it is, and re-encoded and decoded again along a chain of encodings) is compressed with a
-zstandard dictionary per language. A reading's description length is its smallest compressed size, plus what the
+zstandard dictionary per language, which holds the phrases that save most over all texts. A reading's description length is its smallest compressed size, plus what the
 characters outside that language's alphabet cost, plus the cost of its chain. The shortest description wins; on a tie
 the text stays as it is."""
 
@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from darkslide.sources.tables import written
+
 # Letters beyond ASCII of each language, lower case.
 ALPHABETS = {
     "en": "",
@@ -64,9 +67,9 @@ MOST_EVIDENCE = 4
 LEVEL = 3
 LEAST_FRAME = 4  # bytes of the smallest compressed text
 DICTIONARY_BYTES = 32768
-SAMPLE_ROWS = 20000  # at most about so many rows are read to train the dictionaries
-LEAST_SAMPLES = 64
-OWN_SAMPLES, COMMON_SAMPLES = 4000, 6000  # texts that a dictionary is trained on: of its language, and of all others
+PHRASE_WORDS = 4  # words of the longest phrase that is counted
+SEQUENCE_BYTES = 2  # bytes that a reference to a phrase costs
+FIRST_RANKS = 8192  # phrases of each language that are fetched at first; as many again until its dictionary is full
 CACHE = 200_000
 
 SEPARATORS = r"""\s*[;,|/•、，；"'\[\]\t\n]\s*"""  # what may stand between the values of a list
@@ -186,10 +189,10 @@ def candidates(text: str) -> Iterator[tuple[str, str, int]]:
 
 @dataclass
 class Model:
-    """A compressor per language; `dictionaries` maps a language to its dictionary and whether it was trained.
-    `ideographs` are the Japanese characters of the samples: others count as foreign."""
+    """A compressor per language; `dictionaries` maps a language to the content of its dictionary.
+    `ideographs` are the Japanese characters of the texts: others count as foreign."""
 
-    dictionaries: dict[str, tuple[bytes, bool]]
+    dictionaries: dict[str, bytes]
     ideographs: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
@@ -209,9 +212,8 @@ class Model:
         if self._ready is None:
             self._ready, self._bits = {}, {}
             for i, language in enumerate(ALPHABETS):
-                raw, trained = self.dictionaries[language]
-                kind = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
-                shared = zstandard.ZstdCompressionDict(raw, dict_type=kind)
+                raw = self.dictionaries[language]
+                shared = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 shared.precompute_compress(level=LEVEL)
                 self._ready[language] = zstandard.ZstdCompressor(
                     level=LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False
@@ -328,43 +330,97 @@ def language_of(text: str) -> str | None:
     return fits[0] if fits else None
 
 
-def _evenly(texts: list[bytes], most: int) -> list[bytes]:
-    """At most so many of the texts, evenly spaced."""
-    return texts if len(texts) <= most else [texts[i * len(texts) // most] for i in range(most)]
+def _through_utf8(text: str) -> bool:
+    """Whether some chain through UTF-8 can be followed."""
+    return any(
+        _MULTIBYTE[name].search(text) and _words(text, _repairs[name, "utf-8"]) != text for name in UTF8_READ_AS
+    )
+
+
+def sound(text: str) -> str | None:
+    """The language of a text that dictionaries are made from. None for one that some UTF-8 chain could repair whole or in
+    part, with control or replacement characters, or that fits no alphabet: it might be damaged itself."""
+    if 2 * sum(map(str.isalpha, text)) < len(text):
+        return None  # numbers and times are no language
+    if text.isascii():
+        return "en"
+    if REPLACEMENT in text or re.search("[\x80-\x9f]", text) or _BROKEN_CASE.search(text) or _through_utf8(text):
+        return None
+    return language_of(text)
 
 
-def train(texts: list[str]) -> Model:
-    """A dictionary per language from sample texts. Texts that some UTF-8 chain could repair, with control or
-    replacement characters, or that fit no alphabet, are left out: they might be damaged themselves."""
-    by_language: dict[str, list[bytes]] = {x: [] for x in ALPHABETS}
+def phrases(text: str) -> set[str]:
+    """The runs of one to four words of a text, each with the blank after it."""
+    words = [w + " " for w in text.split(" ")]
+    words[-1] = words[-1][:-1]
+    n = len(words)
+    return {"".join(words[i:j]) for i in range(n) for j in range(i + 1, min(i + PHRASE_WORDS, n) + 1)} - {""}
+
+
+def count_phrases(texts: Iterable[str | None]) -> Counter:
+    """Counts (language, phrase): in how many of the texts of a language a phrase occurs. The Japanese characters are
+    counted too, under no language."""
+    out: Counter = Counter()
     for text in texts:
-        if REPLACEMENT in text or re.search("[\x80-\x9f]", text) or _BROKEN_CASE.search(text):
-            continue
-        if 2 * sum(map(str.isalpha, text)) < len(text):
-            continue  # numbers and times are no language
-        if any(step >= 1 and ">utf-8" in chain for _, chain, step in candidates(text)):
-            continue
-        language = language_of(text)
+        language = sound(text) if text else None
         if language:
-            by_language[language].append(unicodedata.normalize("NFC", text).encode())
-    out: dict[str, tuple[bytes, bool]] = {}
-    common = _evenly(by_language["en"], COMMON_SAMPLES)
-    for language, texts_of_it in by_language.items():
-        # What all languages share is in every dictionary, so that only the language's own text tells them apart.
-        own = _evenly(texts_of_it, OWN_SAMPLES)
-        samples = own if language == "en" else own + common
-        made = None
-        if len(samples) >= LEAST_SAMPLES:
-            try:
-                made = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
-            except zstandard.ZstdError:
-                made = None
-        raw = b" ".join(samples)[:DICTIONARY_BYTES] if made is None else made
-        if len(raw) < 8:
-            raw = (ALPHABETS[language] or "the of and ").encode()
-        out[language] = (raw, made is not None)
-    seen = frozenset(c for x in by_language["ja"] for c in x.decode() if _japanese(c))
-    return Model(out, seen)
+            plain = _normal(text)
+            out.update([(language, p) for p in phrases(plain)])
+            if language == "ja":
+                out.update([("", c) for c in set(plain) if _japanese(c)])
+    return out
+
+
+def _saved(phrase: str, count: int) -> int:
+    """Bytes that a phrase in the dictionary saves over all texts."""
+    return count * (len(phrase.encode("utf-8", "surrogatepass")) - SEQUENCE_BYTES)
+
+
+def _fill(ranked: list[str], room: int) -> tuple[list[str], bool]:
+    """The first phrases that fit in, without those that stand in others before them, and whether the room is full."""
+    out: list[str] = []
+    joined, size = "", 0
+    for phrase in ranked:
+        if phrase in joined:
+            continue
+        size += len(phrase.encode("utf-8", "surrogatepass"))
+        if size > room:
+            return out, True
+        out.append(phrase)
+        joined += phrase + "\0"
+    return out, False
+
+
+def _dictionaries(ranked: dict[str, list[str]], most: int | None = None) -> tuple[dict[str, bytes], bool]:
+    """The content of each dictionary from the phrases of each language, which save most first, and whether more phrases
+    would change none: a dictionary is full, or its language has fewer phrases than the `most` that were fetched.
+
+    Half of a dictionary is its language's own, the rest is what all languages share, so that only the language's own text
+    tells them apart. The phrases that save most stand last, where references to them are shortest."""
+    out: dict[str, bytes] = {}
+    settled = True
+    ended = {x: most is None or len(ranked.get(x, [])) < most for x in ALPHABETS}
+    for language in ALPHABETS:
+        own, full = _fill(ranked.get(language, []), DICTIONARY_BYTES // (1 if language == "en" else 2))
+        settled &= full or ended[language]
+        if language != "en":
+            taken = sum(len(p.encode("utf-8", "surrogatepass")) for p in own)
+            common, full = _fill(ranked.get("en", []), DICTIONARY_BYTES - taken)
+            settled &= full or ended["en"]
+            own += common
+        raw = "".join(reversed(own)).encode("utf-8", "surrogatepass")
+        out[language] = raw if len(raw) >= 8 else (ALPHABETS[language] or "the of and ").encode()
+    return out, settled
+
+
+def train(texts: Iterable[str]) -> Model:
+    """The model of texts that are all at hand."""
+    ranked: dict[str, list[str]] = {}
+    counts = count_phrases(texts)
+    for language, phrase in sorted(counts, key=lambda k: (-_saved(k[1], counts[k]), k[1])):
+        if language and _saved(phrase, 1) > 0:
+            ranked.setdefault(language, []).append(phrase)
+    return Model(_dictionaries(ranked)[0], frozenset(c for language, c in counts if not language))
 
 
 def texts_in(entries: Column, lists: list[str]) -> Column:
@@ -386,13 +442,37 @@ def texts_of(json_col: Column, lists: list[str]) -> Column:
     return texts_in(F.from_json(json_col, "map<string,string>"), lists)
 
 
-def sample_texts(df: DataFrame, json_col: str, key: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """Texts of at most about `rows` rows, chosen by a hash of their key: the bound on what the training reads."""
-    share = max(1, -(-df.count() // rows))
+def train_on(df: DataFrame, json_col: str) -> Model:
+    """The model of all values of a column of JSON objects, each different one counted once.
+
+    Phrases are counted where the texts are; the driver gets those that save most, as many as fill the dictionaries."""
     values = F.map_values(F.from_json(F.col(json_col), "map<string,string>"))
-    chosen = df.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0)
-    found = chosen.select(F.explode(values).alias("v")).where(F.length("v").between(6, 400)).distinct()
-    return sorted(r["v"] for r in found.collect())
+    texts = df.select(F.explode(values).alias("v")).distinct()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = count_phrases(batch.column("v").to_pylist())
+            columns = [pa.array([k[i] for k in found], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(list(found.values()), pa.int64())], names=["language", "phrase", "n"]
+            )
+
+    counts = texts.mapInArrow(count, "language string, phrase string, n bigint")
+    counts = counts.groupBy("language", "phrase").agg(F.sum("n").alias("n"))
+    saved = F.col("n") * (F.octet_length("phrase") - SEQUENCE_BYTES)
+    counts = written(counts.select("language", "phrase", saved.alias("saved")), "phrases")
+    seen = frozenset(r["phrase"] for r in counts.where("language = ''").select("phrase").collect())
+    best_first = Window.partitionBy("language").orderBy(F.desc("saved"), "phrase")
+    ranks = counts.where("language <> '' and saved > 0").withColumn("rank", F.row_number().over(best_first))
+    most = FIRST_RANKS
+    while True:
+        ranked: dict[str, list[str]] = {}
+        for r in sorted(ranks.where(F.col("rank") <= most).collect(), key=lambda r: r["rank"]):
+            ranked.setdefault(r["language"], []).append(r["phrase"])
+        made, settled = _dictionaries(ranked, most)
+        if settled:
+            return Model(made, seen)
+        most *= 2
 
 
 def find_damaged(df: DataFrame, texts: str, model: Model) -> DataFrame:

@@ -101,3 +101,25 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(images, "id bigint, metadata_json string").write.parquet(str(tmp_path / "images.parquet"))
     spark.createDataFrame(index, "id bigint, metadata_text string").write.parquet(str(tmp_path / "images_fts.parquet"))
     assert sorted(map(tuple, p2_found(spark, str(tmp_path)).collect())) == [("metadata_json", 100), ("metadata_text", 100)]
+
+
+def test_the_model_counts_all_texts(spark, tmp_path):
+    """A table larger than the sample that was once read: every character and every phrase counts."""
+    from darkslide.llm.queries import _model
+
+    signs = [chr(0x4E00 + i) for i in range(20_990)]
+    texts = [f"{c}の朝、月見浜" for c in signs] + ["Möwen bei Böhrntal"] * 30
+    texts += [f"Fähre nach Süßental Teil {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)] + ["ß"]
+    rows = [(i, json.dumps({"City": t}, ensure_ascii=False)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "id bigint, metadata_json string").write.parquet(str(tmp_path / "images.parquet"))
+    model, local = _model(spark, str(tmp_path)), encoding.train(set(texts))
+    assert model.ideographs >= set(signs)
+    assert model.dictionaries == local.dictionaries and model.ideographs == local.ideographs
+    assert b"nach S\xc3\xbc\xc3\x9fental Teil " in model.dictionaries["de"]
+
+
+def test_more_phrases_are_fetched_until_the_dictionaries_are_full(spark, monkeypatch):
+    texts = [f"Fähre {chr(97 + i % 26) * 3} nach {chr(97 + i // 26) * 4} und weiter" for i in range(600)]
+    df = spark.createDataFrame([(json.dumps({"City": t}),) for t in texts], "j string")
+    monkeypatch.setattr(encoding, "FIRST_RANKS", 2)
+    assert encoding.train_on(df, "j").dictionaries == encoding.train(texts).dictionaries
